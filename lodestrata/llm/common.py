@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,3 +47,23 @@ def flushed(rows: Iterator[tuple], schema: pa.Schema, most: int = 2048) -> Itera
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+class Remembered(dict):
+    """key -> make(key), for at most 2 * most entries: a full generation becomes the old one, and what is
+    used again moves to the new one. What make() gives is never affected, only how often it runs."""
+
+    def __init__(self, make: Callable, most: int, longest: int):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import quality_rules
+from lodestrata.llm import bpe, quality_rules, token_counts
 from lodestrata.llm.common import table
 
 
@@ -14,8 +15,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules,)}
+    return {f.__name__: f for f in (op2_quality_rules, op7_token_counts, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
