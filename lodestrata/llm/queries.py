@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, quality_rules, token_counts
+from lodestrata.llm import bpe, quality_rules, token_counts, topk_search
 from lodestrata.llm.common import table
 
 
@@ -19,13 +19,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.op8(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op7_token_counts, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op2_quality_rules, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.OP2_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op8_topk_search": topk_search.OP8_SQL}
