@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, quality_rules, simhash, token_counts, topk_search
+from lodestrata.llm import bpe, mixing, quality_rules, sharding, simhash, token_counts, topk_search
 from lodestrata.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3(table(spark, sf_dir, "documents"))
+
+
+def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_simhash_near_duplicates, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
