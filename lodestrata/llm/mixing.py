@@ -4,7 +4,8 @@ A source's target is a share of the total by weight, capped at a multiple of its
 documents is wanted target/size times: so many whole copies, and a fraction that is rounded to 0 or 1.
 Rounding takes two fractional documents at a time and moves words from one to the other, at random in
 one of the two directions with the chances that keep both expectations, until one is integral. The words
-of the pair never change in sum, so a source misses its target by less than one document, the last one.
+of the pair never change in sum, so a source misses its target by less than one document, the last one, which is
+rounded to the nearer side; what that is off by is made up from the documents it met last.
 
 Documents are dealt by hash into blocks; each block is rounded in one task and leaves one fractional
 document at most. These residuals are combined in the same way, FAN blocks at a time, in a tree.
@@ -83,11 +84,27 @@ def pivotal(sizes: np.ndarray, chances: np.ndarray, ids: np.ndarray, salt: int)
     return x, held
 
 
+def settled_last(sizes: np.ndarray, chances: np.ndarray, x: np.ndarray, held: int) -> np.ndarray:
+    """The source's last residual goes to the nearer side; the words it is then off by are made up by flipping
+    those of the documents it met that come nearest, the longest first."""
+    x = x.copy()
+    off = sizes[held] * (round(x[held]) - x[held])
+    x[held] = round(x[held])
+    for i in range(len(x)):
+        change = sizes[i] * (1 - 2 * x[i])
+        if i != held and EPS < chances[i] < 1 - EPS and abs(off + change) < abs(off):
+            x[i], off = 1 - x[i], off + change
+    return x
+
+
 def _rounded(salt: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         # Long documents first: what is left fractional in the end is then a short one as a rule.
         group = group.sort_values(["size", "h"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        x, held = pivotal(group["size"].to_numpy(), group["x"].to_numpy(), group["h"].to_numpy(), salt)
+        sizes, chances = group["size"].to_numpy(), group["x"].to_numpy()
+        x, held = pivotal(sizes, chances, group["h"].to_numpy(), salt)
+        if held >= 0 and group["blocks"].iloc[0] <= FAN**salt:
+            x, held = settled_last(sizes, chances, x, held), -1
         group["x"] = x
         group["loose"] = np.arange(len(group)) == held
         return group
@@ -114,10 +131,11 @@ def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.col(key), "source", "size", "source_size", "target", "h",
         F.floor("ratio").cast("int").alias("whole"),
         (F.col("ratio") - F.floor("ratio")).alias("x"),
+        "blocks",
         F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"),
     )
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, source string, size long, source_size long, target double, h long, whole int, x double, block int, loose boolean"
+    schema = f"`{key}` {kind}, source string, size long, source_size long, target double, h long, whole int, x double, blocks int, block int, loose boolean"
     level = cut_lineage(rows.groupBy("source", "block").applyInPandas(_rounded(0), schema))
     settled = level.filter(~F.col("loose"))
     loose = level.filter("loose")
@@ -130,10 +148,7 @@ def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         level = cut_lineage(joined.groupBy("source", "block").applyInPandas(_rounded(salt), schema))
         settled = settled.union(level.filter(~F.col("loose")))
         loose = level.filter("loose")
-    # One residual a source at most: it is taken by chance, which keeps its expectation.
-    last = loose.withColumn("x", F.when(F.pmod(F.xxhash64(F.lit(17), "h"), F.lit(1 << 20)) / float(1 << 20) < F.col("x"), 1.0).otherwise(0.0))
-    done = settled.union(last)
-    return done.select(key, "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("int")).alias("copies"), "h")
+    return settled.select(key, "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("int")).alias("copies"), "h")
 
 
 def op3(docs: DataFrame) -> DataFrame:
