@@ -29,7 +29,7 @@ from lodestrata.llm.common import Remembered, flushed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Most pre-tokens that a worker remembers, and the longest one that it does.
-CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 250_000, 48, 400_000
+CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 450_000, 48, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,11 +65,7 @@ class PrefixTable:
         return done
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end - 1])
-            end -= self.codec.length[out[-1]]
-        return out[::-1]
+        return list(self.codec.path(self.last))
 
 
 class Codec:
@@ -79,9 +75,16 @@ class Codec:
         self.longest = max(map(len, ranks))
         self.split_text = regex.compile(pattern).findall
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         #: The tokens that their own bytes encode to; no other can end an encoding by merges.
         self.alone = {b: i for b, i in ranks.items() if self.halves(i) != (-1, -1)}
+        #: What begins such a token -> the token that it is, or -1.
+        self._walk = {b[:n]: -1 for b in self.alone for n in range(1, len(b))} | self.alone
+        size = max(ranks.values()) + 1
+        self._first, self._second = [-1] * size, [-1] * size
+        for i, two in self._halves.items():
+            if two and two != (-1, -1):
+                self._first[i], self._second[i] = two
         self.known = Remembered(self._encode_piece, CACHE_ENTRIES, CACHE_CHARS)
 
     def merged(self, data: bytes, below: int | None = None) -> list[int]:
@@ -106,46 +109,59 @@ class Codec:
         return self._halves[token]
 
     def may_follow(self, left: int, right: int) -> bool:
-        key = (left, right)
         if len(self._pairs) >= PAIR_ENTRIES:
             self._pairs.clear()
-        known = self._pairs[key] = self._may_follow(left, right)
+        known = self._pairs[left << 20 | right] = self._may_follow(left, right)
         return known
 
     def _may_follow(self, left: int, right: int) -> bool:
-        ranks, token, limit = self.ranks, self.token, 1 << 60
+        get, token, first, second = self.ranks.get, self.token, self._first, self._second
+        limit = none = 1 << 60
         while True:
-            joined = ranks.get(token[left] + token[right])
-            if joined is not None and joined < limit:
+            if get(token[left] + token[right], none) < limit:
                 return False
-            a, b = self.halves(left), self.halves(right)
-            if a and (left > right or not b):
-                limit, left = left, a[1]
-            elif b:
-                limit, right = right + 1, b[0]
+            a, b = second[left], first[right]
+            if a >= 0 and (left > right or b < 0):
+                limit, left = left, a
+            elif b >= 0:
+                limit, right = right + 1, b
             else:
                 return True
 
     def extend(self, data: bytes, last: list[int], to: int) -> None:
-        """Add the last tokens of the prefixes of data up to the length `to`."""
-        get, pairs, may_follow, longest = self.alone.get, self._pairs, self.may_follow, self.longest
-        for end in range(len(last) + 1, to + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(data[start:end])
-                if token is not None:
-                    if start == 0:
-                        break
-                    key = (last[start - 1], token)
-                    if pairs[key] if key in pairs else may_follow(*key):
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
-            last.append(token)
+        """Add the last tokens of the prefixes of data up to the length `to`. An entry is sought from the longest
+        token that can end there: what starts at a place is looked up only as far as it begins some token."""
+        done = len(last)
+        last += [-1] * (to - done)
+        walk, pairs, may_follow = self._walk.get, self._pairs.get, self.may_follow
+        for start in range(max(0, done - self.longest + 1), to):
+            before = last[start - 1] << 20 if start else -1
+            for end in range(start + 1, to + 1):
+                token = walk(data[start:end])
+                if token is None:
+                    break
+                if token >= 0 and end > done and last[end - 1] < 0:
+                    if before < 0 or (ok if (ok := pairs(before | token)) is not None else may_follow(before >> 20, token)):
+                        last[end - 1] = token
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self, data).ids())
+        if whole is not None:
+            return (whole,)
+        last: list[int] = []
+        self.extend(data, last, len(data))
+        return self.path(last)
+
+    def path(self, last: list[int]) -> tuple[int, ...]:
+        """The tokens of the longest prefix, from the last tokens of all prefixes."""
+        out, end, length = [], len(last), self.length
+        while end:
+            t = last[end - 1]
+            out.append(t)
+            end -= length[t]
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.split_text(text))))
