@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, mixing, quality_rules, sharding, simhash, token_counts, topk_search
+from lodestrata.llm import bpe, language_id, mixing, quality_rules, sharding, simhash, token_counts, topk_search
 from lodestrata.llm.common import table
 
 
+def op1_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_kneser_ney_language_id, op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
