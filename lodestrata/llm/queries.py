@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, language_id, mixing, quality_rules, sharding, simhash, token_counts, topk_search
+from lodestrata.llm import bpe, language_id, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, topk_search
 from lodestrata.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
 
@@ -44,7 +48,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney_language_id, op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_kneser_ney_language_id, op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op6_crf_secret_scan, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
