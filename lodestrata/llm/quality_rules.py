@@ -79,13 +79,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     windows = F.when(
         n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, WINDOW)))
     ).otherwise(F.array().cast("array<bigint>"))
+    # A generator of one row stands between the measurements and what uses them: the optimizer would else
+    # move filters below them and work the measurements out anew for every rule.
     return (
         docs.withColumn("_words", word_array(F.col(text)))
         .withColumn("_lines", lines)
         .withColumn("_windows", windows)
-        .withColumn(
-            "_measures",
-            F.struct(
+        .select(
+            *docs.columns,
+            F.inline(F.array(F.struct(F.struct(
                 n.cast("long").alias("n_words"),
                 without(SPACE + "+").cast("long").alias("word_chars"),
                 (F.length(value) - without(r"[#*$%&|<>]+")).cast("long").alias("n_symbols"),
@@ -94,10 +96,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 F.size("_lines").cast("long").alias("n_lines"),
                 F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"),
                 (F.length(value) - without(r"\p{Lu}+")).cast("long").alias("n_upper"),
-            ),
+            ).alias("_measures")))),
         )
-        .drop("_words", "_lines", "_windows")
-    )
+    )
 
 
 def fail_bits() -> Column:
