@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, language_id, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, topk_search
+from lodestrata.llm import bpe, language_id, license_scan, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, topk_search
 from lodestrata.llm.common import table
 
 
@@ -43,13 +43,17 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op8(table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney_language_id, op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op6_crf_secret_scan, op7_token_counts, op8_topk_search, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_kneser_ney_language_id, op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op6_crf_secret_scan, op7_token_counts, op8_topk_search, op9_license_scan, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op8_topk_search": topk_search.OP8_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op8_topk_search": topk_search.OP8_SQL, "op9_license_scan": license_scan.OP9_SQL}
