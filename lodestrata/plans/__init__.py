@@ -1 +1 @@
-
+"""Registered queries; importing the modules below fills the registry."""

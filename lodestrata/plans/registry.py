@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
     """Add a query under its name, with the SQL that DuckDB runs for the same rows."""
 
-    def add(f):
-        assert name not in _QUERIES, name
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = f
         if sql is not None:
             _ORACLE[name] = sql
@@ -23,13 +26,24 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from lodestrata.plans import evaluations, facts, filings, lines, replies, retrieval, texts  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
+    """Nearest vectors over all and by group, united without repeats."""
+    return queries()["knn_first_wins_union"](spark, sf_dir)

@@ -1 +1 @@
-
+"""Filings that arrive as files, taken into the store as they come."""
