@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.constants import ANSWER_NUMBER, FLAGS, NOT_WITHIN_WORD, PASSAGE_NUMBER, PLAIN_YEAR
 from lodestrata.functions.citations import cited_numbers, without_citations
-from lodestrata.functions.text import stripped
+from lodestrata.functions.text import let, stripped
 
-#: What stands before and after a number is captured too, as matches carry no positions.
+#: What stands before and after a number is matched too, as matches carry no positions.
 _WITH_CONTEXT = FLAGS + r"(≈\s*)?" + NOT_WITHIN_WORD + ANSWER_NUMBER + r"(\s*[x×])?"
+_PARTS, _MARK = "$1\x1f$2\x1f$3\x1f$4\x1f$5", "\x1f"
 
 
 def number_value(text: Column) -> Column:
@@ -25,9 +26,11 @@ def figure_matches(answer: Column) -> Column:
 
     Counted are numbers with a dollar or percent sign, a separator or decimals, or of three digits or more;
     citations and plain years are not. approximate: a percentage or multiple with "≈" before it."""
-    text = without_citations(answer)
-    part = lambda i: F.regexp_extract_all(text, F.lit(_WITH_CONTEXT), F.lit(i))
-    found = F.arrays_zip(part(1).alias("sign"), part(2).alias("dollar"), part(3).alias("number"), part(4).alias("percent"), part(5).alias("times"))
+    matches = F.regexp_extract_all(without_citations(answer), F.lit(_WITH_CONTEXT), F.lit(0))
+
+    def parts(match: Column) -> Column:
+        cut = F.split(F.regexp_replace(match, _WITH_CONTEXT, _PARTS), _MARK, -1)
+        return let(cut, lambda c: F.struct(*[c[i].alias(name) for i, name in enumerate(("sign", "dollar", "number", "percent", "times"))]))
 
     def counts(m: Column) -> Column:
         marked = (m["dollar"] != "") | (m["percent"] != "")
@@ -39,7 +42,7 @@ def figure_matches(answer: Column) -> Column:
         approximate = (m["sign"] != "") & ((m["percent"] != "") | (m["times"] != ""))
         return F.struct(figure.alias("figure"), approximate.alias("approximate"), number_value(m["number"]).alias("value"))
 
-    return F.array_distinct(F.transform(F.filter(found, counts), shown))
+    return F.array_distinct(F.transform(F.filter(F.transform(matches, parts), counts), shown))
 
 
 def answer_figures(answer: Column) -> Column:
@@ -50,24 +53,36 @@ def passage_values(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PASSAGE_NUMBER), F.lit(0)), number_value)
 
 
+def _unverified(figures: Column, held: Column, allow_approximate: bool) -> Column:
+    left = F.filter(figures, lambda f: ~F.array_contains(held, f["value"]) & (~f["approximate"] if allow_approximate else F.lit(True)))
+    return F.array_distinct(F.transform(left, lambda f: f["figure"]))
+
+
+def _values(texts: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(texts, passage_values)))
+
+
 def unverified_figures(answer: Column, cited_texts: Column, allow_approximate: bool = False) -> Column:
     """The figures whose value none of the cited texts (an array) holds."""
-    held = F.flatten(F.transform(cited_texts, passage_values))
-    figures = figure_matches(answer)
-    if allow_approximate:
-        figures = F.filter(figures, lambda f: ~f["approximate"])
-    return F.array_distinct(F.transform(F.filter(figures, lambda f: ~F.array_contains(held, f["value"])), lambda f: f["figure"]))
+    known = F.struct(figure_matches(answer).alias("figures"), _values(cited_texts).alias("held"))
+    return let(known, lambda k: _unverified(k["figures"], k["held"], allow_approximate))
 
 
 def check_answer(answer: Column, passages: Column, allow_approximate: bool = False) -> Column:
     """struct<cited, invalid_citations, unverified_figures, approximate_ratios> of an answer and its passages
     (array<struct<n, text, ...>>, numbered from 1). approximate_ratios is null where they are not allowed."""
-    cited = cited_numbers(answer)
-    texts = F.transform(F.filter(passages, lambda p: F.array_contains(cited, p["n"].cast("long"))), lambda p: p["text"])
-    ratios = F.array_distinct(F.transform(F.filter(figure_matches(answer), lambda f: f["approximate"]), lambda f: F.concat(F.lit("≈ "), f["figure"])))
-    return F.struct(
-        cited.alias("cited"),
-        F.filter(cited, lambda n: (n < 1) | (n > F.size(passages))).alias("invalid_citations"),
-        unverified_figures(answer, texts, allow_approximate).alias("unverified_figures"),
-        (ratios if allow_approximate else F.lit(None).cast("array<string>")).alias("approximate_ratios"),
-    )
+
+    def checked(k: Column) -> Column:
+        ratios = F.array_distinct(F.transform(F.filter(k["figures"], lambda f: f["approximate"]), lambda f: F.concat(F.lit("≈ "), f["figure"])))
+        return F.struct(
+            k["cited"].alias("cited"),
+            F.filter(k["cited"], lambda n: (n < 1) | (n > k["n"])).alias("invalid_citations"),
+            _unverified(k["figures"], k["held"], allow_approximate).alias("unverified_figures"),
+            (ratios if allow_approximate else F.lit(None).cast("array<string>")).alias("approximate_ratios"),
+        )
+
+    def known(cited: Column) -> Column:
+        texts = F.transform(F.filter(passages, lambda p: F.array_contains(cited, p["n"].cast("long"))), lambda p: p["text"])
+        return F.struct(cited.alias("cited"), F.size(passages).alias("n"), figure_matches(answer).alias("figures"), _values(texts).alias("held"))
+
+    return let(let(cited_numbers(answer), known), checked)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestrata.constants import FLAGS, FLAGS_ANY_CASE, FOOTER_LINE, NOISE_LINE
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body uses it (within functions of arrays, too)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(text: Column) -> Column:
     """Each run of white space as one blank."""
     return F.regexp_replace(text, FLAGS + r"\s+", " ")

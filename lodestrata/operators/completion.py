@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -54,11 +54,13 @@ def complete(rows: DataFrame, make: Callable[[], Client], max_tokens: int | None
     quota is used up. Null prompts make no call and get a null reply. One client a partition."""
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("stopped", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = rows.columns.index(prompt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client, stopped = None, None
         for batch in batches:
             replies, reasons = [], []
-            for text in batch[prompt]:
+            for text in batch.column(at).to_pylist():
                 reply = None
                 if text is not None and stopped is None:
                     client = client or make()
@@ -68,6 +70,7 @@ def complete(rows: DataFrame, make: Callable[[], Client], max_tokens: int | None
                         stopped = f"daily quota exhausted: {error}"
                 replies.append(reply)
                 reasons.append(stopped if reply is None and text is not None else None)
-            yield batch.assign(reply=replies, stopped=reasons)
+            made = [pa.array(replies, pa.string()), pa.array(reasons, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "reply", "stopped"])
 
-    return rows.repartition(calls_at_once).mapInPandas(run, schema)
+    return rows.repartition(calls_at_once).mapInArrow(run, schema)

@@ -81,25 +81,32 @@ def item_7a_sources(chunks: DataFrame, tickers: DataFrame) -> DataFrame:
     return tickers.select("ticker").distinct().join(found, "ticker", "left")
 
 
-def quota_table(spark: SparkSession) -> DataFrame:
-    """category, search_no (0: the main one), query, section, sec_ord, k."""
+def _quota_rows() -> list[tuple]:
     rows = []
     for category, quotas in CATEGORY_QUOTAS.items():
         searches = [(CATEGORY_QUERIES[category], quotas)] + ([EXTRA_SEARCHES[category]] if category in EXTRA_SEARCHES else [])
         rows += [(category, no, query, section, i, k) for no, (query, wanted) in enumerate(searches) for i, (section, k) in enumerate(wanted.items())]
-    return spark.createDataFrame(rows, "category string, search_no int, query string, section string, sec_ord int, k int")
+    return rows
+
+
+_QUOTA = ("category", "search_no", "query", "section", "sec_ord", "k")
+
+
+def quota_table(spark: SparkSession) -> DataFrame:
+    """category, search_no (0: the main one), query, section, sec_ord, k."""
+    return spark.createDataFrame(_quota_rows(), "category string, search_no int, query string, section string, sec_ord int, k int")
 
 
-def section_quotas(sources: DataFrame, quotas: DataFrame) -> DataFrame:
+def section_quotas(sources: DataFrame) -> DataFrame:
     """ticker, category, search_no, query, section, sec_ord, k for each ticker of sources (ticker, content_source).
-    Where Item 7A is missing or unresolved, main searches that read it read Item 7 as well, last if it is new."""
+    Where Item 7A is missing or unresolved, main searches that read it read Item 7 as well, last if it is new.
+    The catalogue of quotas is a constant: each ticker's row is exploded in place, without a join."""
     lacking = F.coalesce(F.col("content_source") == SHORT_UNRESOLVED, F.lit(True))
-    reads = quotas.filter((F.col("section") == "7A") & (F.col("search_no") == 0)).select("category", "query")
-    extra = reads.select("category", F.lit(0).alias("search_no"), "query", F.lit("7").alias("section"), F.lit(99).alias("sec_ord"), F.lit(UNRESOLVED_7A_K).alias("k"))
-    # Both tables are fixed and small (a catalogue of categories): the cross join multiplies tickers by a constant.
-    plain = sources.crossJoin(F.broadcast(quotas)).select("ticker", *quotas.columns)
-    added = sources.filter(lacking).crossJoin(F.broadcast(extra)).select("ticker", *quotas.columns)
-    joined = plain.unionByName(added).groupBy("ticker", "category", "search_no", "query", "section").agg(F.min("sec_ord").alias("sec_ord"), F.max("k").alias("k"))
+    rows = _quota_rows()
+    extra = [(c, 0, query, "7", 99, UNRESOLVED_7A_K) for c, no, query, section, _, _ in rows if section == "7A" and no == 0]
+    literal = lambda rs: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(_QUOTA, r, strict=True)]) for r in rs])
+    each = sources.select("ticker", F.inline(F.when(lacking, F.concat(literal(rows), literal(extra))).otherwise(literal(rows))))
+    joined = each.groupBy("ticker", "category", "search_no", "query", "section").agg(F.min("sec_ord").alias("sec_ord"), F.max("k").alias("k"))
     return joined.withColumn("sec_ord", (F.row_number().over(Window.partitionBy("ticker", "category", "search_no").orderBy("sec_ord")) - 1).cast("int"))
 
 

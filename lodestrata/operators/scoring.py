@@ -20,7 +20,7 @@ from lodestrata.operators.answers import gathered, marked_passages
 from lodestrata.operators.completion import Client, complete
 from lodestrata.operators.embedding import Embedder, HashingEmbedder
 from lodestrata.operators.prompts import score_prompt, summary_prompt
-from lodestrata.operators.retrieval import CHUNK_KEY, balance_sheet_passages, category_chunks, item_7a_sources, quota_table, read_from, scale_passages, search, section_quotas
+from lodestrata.operators.retrieval import CHUNK_KEY, balance_sheet_passages, category_chunks, item_7a_sources, read_from, scale_passages, search, section_quotas
 from lodestrata.session import cut_lineage
 
 
@@ -31,14 +31,9 @@ def query_vectors(spark: SparkSession, make: Callable[[], Embedder] = HashingEmb
     return spark.createDataFrame([(q, [float(x) for x in v]) for q, v in zip(queries, vectors, strict=True)], "query string, vector array<float>")
 
 
-def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, c) for i, c in enumerate(CATEGORY_QUERIES)], "cat_ord int, category string")
-
-
 def category_prompts(chunks: DataFrame, pins: DataFrame, vectors: DataFrame) -> DataFrame:
     """ticker, cat_ord, category, read_from, passages, prompt; no passages and no prompt where nothing was found."""
-    spark = chunks.sparkSession
-    quotas = section_quotas(item_7a_sources(chunks, pins), quota_table(spark))
+    quotas = section_quotas(item_7a_sources(chunks, pins))
     found = category_chunks(chunks, quotas, vectors)
     by = ["ticker", "category"]
     names = [c for c in found.columns if c not in ("chunk_id",)]
@@ -51,7 +46,7 @@ def category_prompts(chunks: DataFrame, pins: DataFrame, vectors: DataFrame) ->
     listed = gathered(united, by).withColumn("_sheet", F.exists("passages", lambda p: p["n"] == -1))
     numbered = listed.withColumn("passages", F.transform("passages", lambda p, i: p.withField("n", (i + 1).cast("int"))))
     prompted = numbered.withColumn("prompt", score_prompt(F.col("category"), numbered_context(F.col("passages")), F.col("_sheet"))).drop("_sheet")
-    each = pins.select("ticker").crossJoin(F.broadcast(categories(spark)))
+    each = pins.select("ticker", F.posexplode(F.array(*map(F.lit, CATEGORY_QUERIES))).alias("cat_ord", "category"))
     return each.join(prompted, by, "left").join(read_from(found, by), by, "left")
 
 
@@ -84,7 +79,7 @@ def summaries(chunks: DataFrame, scores: DataFrame, vectors: DataFrame, client:
     """ticker, overall, level, scored, categories, summary. Without an overall score no call is made."""
     overall = overall_scores(scores)
     rows = scores.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("cat_ord", "category", "score"))).alias("_rows"))
-    searches = scores.select("ticker").distinct().crossJoin(F.broadcast(vectors.filter(F.col("query") == SUMMARY_QUERY))).select(
+    searches = scores.select("ticker", F.lit(SUMMARY_QUERY).alias("query")).distinct().join(vectors, "query").select(
         F.col("ticker").alias("search_id"), F.lit(0).alias("ord"), "ticker", F.lit("7").alias("section"), F.lit(SUMMARY_K).alias("k"), "vector"
     )
     context = search(chunks, searches, list(CHUNK_KEY), SUMMARY_K).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("_c"))

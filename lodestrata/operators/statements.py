@@ -60,8 +60,9 @@ def pinned_rows(pins: DataFrame, key: str = "doc_id") -> DataFrame:
 def scale_matches(income: DataFrame, pins: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, ord, name, label, n_matches, row: the distinct rows of an income statement (key, line_no, text)
     under each pinned label. Pins are one row a filing: the join is on the filing's key."""
-    rows = income.filter(F.contains(F.col("text"), F.lit(" |"))).select(key, "text")
-    met = pinned_rows(pins, key).join(rows, (pins[key] == rows[key]) & F.startswith(rows["text"], F.concat(F.col("label"), F.lit(" |"))), "left").drop(rows[key])
+    rows = income.filter(F.contains(F.col("text"), F.lit(" |"))).select(F.col(key).alias("_key"), "text")
+    under = (F.col(key) == F.col("_key")) & F.startswith(F.col("text"), F.concat(F.col("label"), F.lit(" |")))
+    met = pinned_rows(pins, key).join(rows, under, "left")
     found = met.groupBy(key, "ord", "name", "label").agg(F.count_distinct("text").alias("n_matches"), F.min("text").alias("row"))
     return found
 

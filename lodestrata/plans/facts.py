@@ -97,8 +97,9 @@ SELECT ticker, label, formula, round(ratio, 9) AS ratio, CASE WHEN ratio >= 1 TH
 def fact_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _amounts(spark, sf_dir)
     wanted = [("share", ["a", "-b"], ["a"]), ("multiple", ["a"], ["c"]), ("gone", ["a", "zzz"], ["b"])]
-    specs = spark.createDataFrame(wanted, "label string, numerator array<string>, denominator array<string>")
-    ratios = values.select("ticker").distinct().crossJoin(F.broadcast(specs))
+    terms = lambda names: F.array(*map(F.lit, names))
+    specs = F.array(*[F.struct(F.lit(name).alias("label"), terms(up).alias("numerator"), terms(down).alias("denominator")) for name, up, down in wanted])
+    ratios = values.select("ticker").distinct().select("ticker", F.inline(specs))
     found = factsheets.ratio_values(ratios, values)
     return found.select("ticker", "label", "formula", F.round("ratio", 9).alias("ratio"), "shown", F.array_join("missing", ",").alias("missing"))
 

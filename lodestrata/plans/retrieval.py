@@ -29,8 +29,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _search(spark: SparkSession, sf_dir: str, by_label: bool) -> DataFrame:
     asked = _asked(spark, sf_dir)
     if by_label:
-        labels = table(spark, sf_dir, "embeddings").filter("vec_id <> 0").select("label").distinct()
-        wanted = labels.crossJoin(F.broadcast(asked)).select("search_id", F.col("label").cast("int").alias("ord"), "ticker", F.col("label").cast("string").alias("section"), (F.col("label") % 3 + 1).alias("k"), "vector")
+        labels = table(spark, sf_dir, "embeddings").filter("vec_id <> 0").select("label", F.lit("all").alias("ticker")).distinct()
+        wanted = labels.join(asked, "ticker").select("search_id", F.col("label").cast("int").alias("ord"), "ticker", F.col("label").cast("string").alias("section"), (F.col("label") % 3 + 1).alias("k"), "vector")
         return retrieval.search(_chunks(spark, sf_dir), wanted, ["vec_id"], 3)
     wanted = asked.select("search_id", F.lit(-1).alias("ord"), "ticker", F.lit(None).cast("string").alias("section"), F.lit(5).alias("k"), "vector")
     return retrieval.search(_chunks(spark, sf_dir), wanted, ["vec_id"], 5)
@@ -140,7 +140,7 @@ SELECT ticker, category, CAST(search_no AS INTEGER) AS search_no, query, section
 )
 def section_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = retrieval.item_7a_sources(_sourced(spark, sf_dir), _nations(spark, sf_dir))
-    return retrieval.section_quotas(sources, retrieval.quota_table(spark))
+    return retrieval.section_quotas(sources)
 
 
 @register(

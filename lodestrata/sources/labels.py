@@ -18,9 +18,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def label_template(tickers: DataFrame) -> DataFrame:
     """A row without score and reason for each ticker and category."""
-    spark = tickers.sparkSession
-    each = spark.createDataFrame([(i, c) for i, c in enumerate(LABEL_CATEGORIES)], "cat_ord int, category string")
-    return tickers.crossJoin(F.broadcast(each)).select(F.col("ticker").alias("company"), "cat_ord", "category", F.lit("").alias("my_score"), F.lit("").alias("my_reason"))
+    each = F.posexplode(F.array(*map(F.lit, LABEL_CATEGORIES))).alias("cat_ord", "category")
+    return tickers.select(F.col("ticker").alias("company"), each).select("*", F.lit("").alias("my_score"), F.lit("").alias("my_reason"))
 
 
 def write_label_template(tickers: DataFrame, path: str) -> None:
