@@ -59,7 +59,7 @@ def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(order):
             shifted = np.zeros(len(codes), np.uint64)
-            shifted[k:] = codes[: len(codes) - k]
+            shifted[k:] = codes[: max(len(codes) - k, 0)]
             total = total + (shifted + np.uint64(7)) * power
             power = power * _B
             x = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -284,7 +284,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     spread = F.aggregate(F.transform(e, lambda x: F.exp((best - x) * model.temperature)), F.lit(0.0), lambda a, x: a + x)
     return found.select(
         key,
-        F.coalesce(lang, F.lit(UNKNOWN)).alias("lang_pred"),
+        # The planner takes a literal array's element to be never null, so that coalesce() would be left out.
+        F.when(e.isNotNull(), lang).otherwise(UNKNOWN).alias("lang_pred"),
         F.coalesce(1.0 / spread, F.lit(0.0)).alias("score"),
         best.alias("cross_entropy"),
         F.coalesce(best > limit, F.lit(True)).alias("rejected"),
