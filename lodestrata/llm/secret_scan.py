@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that finds what they miss.
 
-The patterns give the base spans. The field tags tokens as the begin of a secret, inside one or outside
+The patterns give the base spans; their letters are ASCII's. The field tags tokens as the begin of a secret, inside one or outside
 (B, I, O) from the token's shape, the neighbouring words and features of the whole text, decoded by
 Viterbi. Only tokens of a candidate's shape (long, of letters with digits) may be B or I; all others are
 O by the model's definition, so that a chain falls apart into runs of neighbouring candidates, which are
