@@ -8,7 +8,8 @@ first, so no text is merged anew. An append only extends the table; an edit reco
 byte until its entries fall in with the old ones.
 
 Defined results: a null text counts as empty (no ids, decoded to no bytes); repeated rows and extra
-columns pass through; pre-tokens of any length are encoded whole, and only short ones are remembered.
+columns pass through, but a column of an output's name gives way to it; pre-tokens of any length are
+encoded whole, and only short ones are remembered.
 """
 
 from __future__ import annotations
@@ -199,6 +200,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", with_ids: bool = Fal
 
 def decode(rows: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """Each row with `decoded` (binary); null ids decode to null."""
+    rows = rows.drop("decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +213,7 @@ def decode(rows: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
 
 
 def _mapped(docs: DataFrame, path: str, text: str, outputs: list[tuple]) -> DataFrame:
+    docs = docs.drop(*(name for name, _, _ in outputs if name != text))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind, _ in outputs)])
     at = docs.columns.index(text)
     arrow = {T.ArrayType(T.IntegerType()): pa.list_(pa.int32()), T.LongType(): pa.int64(), T.StringType(): pa.string()}
