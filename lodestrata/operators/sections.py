@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.constants import FLAGS_ANY_CASE, ITEM_HEADING, ITEMS, KEPT_ITEMS, MIN_BODY_CHARS, OWN, POINTER, POINTER_MAX_CHARS, POINTER_RESOLVED, SHORT_UNRESOLVED
-from lodestrata.functions.text import clean_line, stripped
+from lodestrata.functions.text import clean_line, let, stripped
 
 
 def heading_item(text: Column) -> Column:
@@ -19,40 +19,40 @@ def item_rank(item: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, ITEMS)), item).cast("int") - 1
 
 
-def find_headings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line_no, item, title, rank: the headings of a report's body, in strictly rising order of Items.
+def sectioned_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The lines with item (the last heading's, null before the first), is_heading, rank (of headings) and title
+    (of headings: what follows the number, else the next line, else empty).
 
     The body starts at the first heading of Item 1 that a body's worth of text follows; what is above is a
-    table of contents. A later heading is kept if it ranks above all candidates before it: the last kept
-    rank always is the highest so far, so that a running maximum finds the same headings as a scan."""
-    by_line = Window.partitionBy(key).orderBy("line_no")
-    size = F.length("text")
-    scanned = lines.select(
-        key, "line_no", "text", heading_item(F.col("text")).alias("item"),
-        F.sum(size).over(by_line.rowsBetween(Window.unboundedPreceding, 0)).alias("through"),
-        F.sum(size).over(Window.partitionBy(key)).alias("total"),
-    ).filter("item IS NOT NULL")
-    until = F.coalesce(F.lead(F.col("through") - size).over(by_line), F.col("total"))
-    opens = (F.col("item") == ITEMS[0]) & (F.col("body") >= MIN_BODY_CHARS)
-    started = scanned.withColumn("body", until - F.col("through")).withColumn("start", F.min(F.when(opens, F.col("line_no"))).over(Window.partitionBy(key)))
-    ranked = started.filter(F.col("line_no") >= F.col("start")).withColumn("rank", item_rank(F.col("item")))
-    before = F.max("rank").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
-    title = stripped(F.regexp_extract("text", FLAGS_ANY_CASE + ITEM_HEADING, 2))
-    return ranked.withColumn("_before", before).filter(F.col("rank") > F.coalesce("_before", F.lit(-1))).select(key, "line_no", "item", title.alias("title"), "rank")
+    table of contents. A later heading counts if it ranks above all candidates before it: the last one that
+    counted always ranks highest so far, so that a running maximum finds the same headings as a scan.
+    Lines are read once; all windows share one exchange."""
+    whole, by_line = Window.partitionBy(key), Window.partitionBy(key).orderBy("line_no")
+    upto, before = by_line.rowsBetween(Window.unboundedPreceding, 0), by_line.rowsBetween(Window.unboundedPreceding, -1)
+    c = F.col
+    following = F.expr(f"lead(_above) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY line_no)")
+    scan = lines.withColumns({"_candidate": heading_item(c("text")), "_size": F.length("text")})
+    scan = scan.withColumns({"_through": F.sum("_size").over(upto), "_total": F.sum("_size").over(whole), "_next": F.lead("text").over(by_line)})
+    scan = scan.withColumn("_above", F.when(c("_candidate").isNotNull(), c("_through") - c("_size")))
+    opens = (c("_candidate") == ITEMS[0]) & (F.coalesce(following, c("_total")) - c("_through") >= MIN_BODY_CHARS)
+    scan = scan.withColumn("_opens", F.when(opens, c("line_no")))
+    scan = scan.withColumn("_rank", F.when(c("_candidate").isNotNull() & (c("line_no") >= F.min("_opens").over(whole)), item_rank(c("_candidate"))))
+    scan = scan.withColumn("is_heading", F.coalesce(c("_rank") > F.coalesce(F.max("_rank").over(before), F.lit(-1)), F.lit(False)))
+    told = F.rtrim(stripped(F.regexp_extract("text", FLAGS_ANY_CASE + ITEM_HEADING, 2)), F.lit("."))
+    return scan.select(
+        *lines.columns,
+        F.last(F.when(c("is_heading"), c("_candidate")), ignorenulls=True).over(upto).alias("item"),
+        "is_heading",
+        F.when(c("is_heading"), c("_rank")).alias("rank"),
+        F.when(c("is_heading"), F.coalesce(F.nullif(told, F.lit("")), c("_next"), F.lit(""))).alias("title"),
+    )
 
 
-def sectioned_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The lines of documents that have headings, with item (the last heading's, null before the first),
-    is_heading and title (of headings: what follows the number, else the next line, else empty)."""
-    heads = find_headings(lines, key).select(key, "line_no", F.col("item").alias("_item"), F.col("title").alias("_title"))
-    by_line = Window.partitionBy(key).orderBy("line_no")
-    marked = lines.join(heads, [key, "line_no"], "left")
-    return marked.select(
-        *lines.columns,
-        F.last("_item", ignorenulls=True).over(by_line.rowsBetween(Window.unboundedPreceding, 0)).alias("item"),
-        F.col("_item").isNotNull().alias("is_heading"),
-        F.when(F.col("_item").isNotNull(), F.coalesce(F.nullif(F.rtrim(F.col("_title"), F.lit(".")), F.lit("")), F.lead("text").over(by_line), F.lit(""))).alias("title"),
-    ).filter("item IS NOT NULL")
+def find_headings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, line_no, item, title (what follows the number), rank: the headings of a report's body, in strictly
+    rising order of Items."""
+    title = stripped(F.regexp_extract("text", FLAGS_ANY_CASE + ITEM_HEADING, 2))
+    return sectioned_lines(lines, key).filter("is_heading").select(key, "line_no", "item", title.alias("title"), "rank")
 
 
 def joined_lines(line_no: Column, text: Column) -> Column:
@@ -67,43 +67,47 @@ def pointer_name(text: Column) -> Column:
     return F.nullif(stripped(name), F.lit(""))
 
 
+def _text_of(rows: Column) -> Column:
+    return F.array_join(F.transform(rows, lambda r: r["text"]), "\n")
+
+
+def _part_under(rows: Column, name: Column) -> Column:
+    """The text from below the first all-bold row of that name to the next heading that is as large, else null."""
+    starts = F.filter(rows, lambda r: (F.lower(r["text"]) == F.lower(name)) & r["heading_size"].isNotNull())
+
+    def below(first: Column) -> Column:
+        later = F.filter(rows, lambda r: r["at"] > first["at"])
+        end = F.get(F.filter(later, lambda r: r["heading_size"] >= first["heading_size"]), F.lit(0))["at"].cast("long")
+        return let(F.coalesce(end, F.lit((1 << 63) - 1)), lambda stop: _text_of(F.filter(later, lambda r: r["at"] < stop)))
+
+    return F.when(F.size(starts) > 0, F.nullif(let(F.get(starts, F.lit(0)), below), F.lit("")))
+
+
 def split_sections(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, section, title, text, content_source, resolved_from for each kept Item of each document.
 
     lines: key, line_no, text, heading_size. A short Item 7A that points into Item 7 gets the text of the
-    part it names, up to the next heading that is as large; if there is none, it is short_unresolved."""
-    marked = sectioned_lines(lines, key)
-    body = F.when(~F.col("is_heading"), F.col("text"))
-    found = (
-        marked.filter(F.col("item").isin(*KEPT_ITEMS))
-        .groupBy(key, F.col("item").alias("section"))
-        .agg(F.max("title").alias("title"), joined_lines(F.col("line_no"), body).alias("text"))
-    )
-    short = (F.col("section") == "7A") & (F.length("text") < POINTER_MAX_CHARS)
-    named = found.withColumn("_name", F.when(short, pointer_name(F.col("text"))))
-    led = _pointed_to(marked, named.filter("_name IS NOT NULL").select(key, "_name"), key)
-    # One row a document at most on this side, and only of documents whose Item 7A is a pointer.
-    joined = named.join(led.withColumn("section", F.lit("7A")), [key, "section"], "left")
-    return joined.select(
+    part it names; if there is none, it is short_unresolved. The Items of a document meet in one row of it,
+    as the document itself did, so that the exchange by document serves here too."""
+    row = F.when(~F.col("is_heading"), F.struct(F.col("line_no").alias("at"), "text", "heading_size"))
+    found = sectioned_lines(lines, key).filter(F.col("item").isin(*KEPT_ITEMS)).groupBy(key, F.col("item").alias("section"))
+    sections = found.agg(F.max("title").alias("title"), F.sort_array(F.collect_list(row)).alias("rows"))
+    docs = sections.groupBy(key).agg(F.collect_list(F.struct("section", "title", "rows")).alias("_sections"))
+    rows_of = lambda item: F.get(F.filter("_sections", lambda s: s["section"] == item), F.lit(0))["rows"]
+    own = docs.withColumn("_own", F.coalesce(_text_of(rows_of("7A")), F.lit("")))
+    named = own.withColumn("_name", F.when(F.length("_own") < POINTER_MAX_CHARS, pointer_name(F.col("_own"))))
+    led = named.withColumn("_led", F.when(F.col("_name").isNotNull(), _part_under(rows_of("7"), F.col("_name"))))
+    each = led.select(key, F.length("_own").alias("_chars"), "_name", "_led", F.inline("_sections"))
+    is_7a = F.col("section") == "7A"
+    resolved = is_7a & F.col("_led").isNotNull()
+    return each.select(
         key, "section", "title",
-        F.coalesce("_led", "text").alias("text"),
-        F.when(F.col("_led").isNotNull(), POINTER_RESOLVED).when(short, SHORT_UNRESOLVED).otherwise(OWN).alias("content_source"),
-        F.when(F.col("_led").isNotNull(), F.concat(F.lit("Item 7, "), "_name")).otherwise("").alias("resolved_from"),
+        F.when(resolved, F.col("_led")).otherwise(_text_of(F.col("rows"))).alias("text"),
+        F.when(resolved, POINTER_RESOLVED).when(is_7a & (F.col("_chars") < POINTER_MAX_CHARS), SHORT_UNRESOLVED).otherwise(OWN).alias("content_source"),
+        F.when(resolved, F.concat(F.lit("Item 7, "), "_name")).otherwise("").alias("resolved_from"),
     )
 
 
-def _pointed_to(marked: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """key, _led: the text of the named part of Item 7."""
-    inside = marked.filter((F.col("item") == "7") & ~F.col("is_heading")).join(names, key)
-    by_line = Window.partitionBy(key).orderBy("line_no")
-    is_start = (F.lower("text") == F.lower("_name")) & F.col("heading_size").isNotNull()
-    first = F.min(F.when(is_start, F.struct("line_no", "heading_size"))).over(Window.partitionBy(key))
-    after = inside.withColumn("_first", first).filter(F.col("line_no") > F.col("_first.line_no"))
-    ends = F.max(F.coalesce(F.col("heading_size") >= F.col("_first.heading_size"), F.lit(False))).over(by_line.rowsBetween(Window.unboundedPreceding, 0))
-    part = after.withColumn("_ended", ends).filter(~F.col("_ended"))
-    return part.groupBy(key).agg(joined_lines(F.col("line_no"), F.col("text")).alias("_led"))
-
-
 def describe_7a(content_source: Column, resolved_from: Column) -> Column:
     return (
         F.when(content_source == POINTER_RESOLVED, F.concat(F.lit("pointer resolved to "), resolved_from))

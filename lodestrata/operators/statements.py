@@ -93,11 +93,13 @@ def cash_debt_lines(balance: DataFrame, key: str = "doc_id") -> DataFrame:
     text = F.col("text")
     is_heading = text.rlike(FLAGS_ANY_CASE + CURRENT_HEADING)
     is_units = text.rlike(FLAGS_ANY_CASE + UNITS_LINE)
-    new_row = text.rlike(FLAGS_ANY_CASE + CASH_DEBT_ROW) & ~is_heading & (F.col("line_no") == F.min("line_no").over(Window.partitionBy(key, "text")))
-    kinds = balance.select(key, "line_no", "text", is_heading.alias("_heading"), is_units.alias("_units"), new_row.alias("_row"))
+    is_row = text.rlike(FLAGS_ANY_CASE + CASH_DEBT_ROW) & ~is_heading
+    kinds = balance.select(key, "line_no", "text", is_heading.alias("_heading"), is_units.alias("_units"), is_row.alias("_any"))
     upto = by_line.rowsBetween(Window.unboundedPreceding, 0)
     heading = F.when(F.col("_heading"), F.struct("line_no", "text"))
-    under = kinds.withColumn("_under", F.last(heading, ignorenulls=True).over(upto))
+    # The window by document comes first: its exchange then serves the window by document and text as well.
+    last = kinds.withColumn("_under", F.last(heading, ignorenulls=True).over(upto))
+    under = last.withColumn("_row", F.col("_any") & (F.col("line_no") == F.min("line_no").over(Window.partitionBy(key, "text"))))
     rows_before = F.coalesce(F.sum(F.when(F.col("_row"), 1).otherwise(0)).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     units_before = F.coalesce(F.sum(F.when(F.col("_units"), 1).otherwise(0)).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = under.withColumn("_opens", F.col("_units") & (rows_before == 0) & (units_before == 0))
