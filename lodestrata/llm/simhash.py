@@ -107,8 +107,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_h"))
     fps = cut_lineage(fingerprints(rows.select("doc_id", "text", "_h"), "doc_id", "_h"))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_h")))
-    stay = fps.join(classes(fps), "fp").groupBy("root").agg(one.alias("one")).select(F.coalesce("one.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("one._h").alias("_h"))
+    # Copies are reduced to one row a fingerprint before the join, so that a large group of them meets in no task.
+    first = fps.groupBy("fp").agg(one.alias("one"))
+    stay = first.join(classes(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.coalesce("one.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("one._h").alias("_h"))
     keyed = rows.select("_row", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_h")
     kept = keyed.join(stay, ["_id", "_h"], "left_semi")
-    first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id"))).filter("_n = 1")
-    return first.select(*[F.col("_row").getField(c).alias(c) for c in names])
+    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id"))).filter("_n = 1")
+    return once.select(*[F.col("_row").getField(c).alias(c) for c in names])
