@@ -30,7 +30,7 @@ from lodestrata.llm.common import Remembered, flushed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Most pre-tokens that a worker remembers, and the longest one that it does.
-CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 450_000, 48, 1_000_000
+CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 300_000, 48, 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
