@@ -31,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_ROWS, FAN = 1024, 256
+#: Most sources whose table is broadcast; more of them are joined by key.
+BROADCAST_SOURCES = 50_000
 EPS = 1e-9
 
 
@@ -118,7 +120,8 @@ def source_table(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["size"] for r in rows])
     data = [(r["source"], r["size"], t, t / r["size"] if r["size"] else 0.0, math.ceil(r["n"] / BLOCK_ROWS)) for r, t in zip(rows, goal, strict=True)]
-    return spark.createDataFrame(data, "source string, source_size long, target double, ratio double, blocks int")
+    table = spark.createDataFrame(data, "source string, source_size long, target double, ratio double, blocks int")
+    return F.broadcast(table) if len(data) <= BROADCAST_SOURCES else table
 
 
 def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -126,7 +129,7 @@ def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     sized = cut_lineage(docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64(key, "text").alias("h")))
     sources = source_table(spark, sized)
-    named = sized.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    named = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = named.select(
         F.col(key), "source", "size", "source_size", "target", "h",
         F.floor("ratio").cast("int").alias("whole"),
