@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.constants import EMPTY_PARENTHESES, FLAGS, FLAGS_ANY_CASE, SCALE_FIGURE, SCALE_FILLER, SCALE_TERMS, SCALE_WORD, SENTENCE_END, SHORT_REASON_WORDS
 from lodestrata.functions.citations import without_citations
-from lodestrata.functions.text import clean_line
+from lodestrata.functions.text import clean_line, let
 
 
 def restates_scale(sentence: Column) -> Column:
@@ -21,17 +21,25 @@ def restates_scale(sentence: Column) -> Column:
 def sentences(text: Column) -> Column:
     """The sentences of a text without their end marks; a period ends one only after a small letter, a digit,
     a percent sign, a bracket or another period."""
-    parts = F.split(text, FLAGS + SENTENCE_END, -1)
-    last = F.rtrim(clean_line(F.element_at(parts, -1)), F.lit("."))
-    return F.filter(F.concat(F.transform(F.slice(parts, 1, F.size(parts) - 1), clean_line), F.array(last)), lambda s: s != "")
+
+    def stripped_of_marks(parts: Column) -> Column:
+        last = F.rtrim(clean_line(F.element_at(parts, -1)), F.lit("."))
+        return F.filter(F.concat(F.transform(F.slice(parts, 1, F.size(parts) - 1), clean_line), F.array(last)), lambda s: s != "")
+
+    return let(F.split(text, FLAGS + SENTENCE_END, -1), stripped_of_marks)
 
 
 def short_reason(reason: Column, max_words: int = SHORT_REASON_WORDS) -> Column:
     """The first sentence that does more than restate the scale (else the first), capitalised, without
     citations, of max_words words at most."""
     bare = clean_line(F.regexp_replace(without_citations(reason), FLAGS_ANY_CASE + EMPTY_PARENTHESES, ""))
-    parts = sentences(F.regexp_replace(bare, FLAGS + r"\s+([.,;:)])", "$1"))
-    telling = F.filter(parts, lambda s: ~restates_scale(s))
-    line = F.coalesce(F.get(telling, F.lit(0)), F.get(parts, F.lit(0)), F.lit(""))
-    words = F.split(F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, 2, 1 << 30)), " ")
-    return F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.when(F.size(words) > max_words, "…").otherwise(""))
+
+    def first_telling(parts: Column) -> Column:
+        telling = F.filter(parts, lambda s: ~restates_scale(s))
+        return let(F.coalesce(F.get(telling, F.lit(0)), F.get(parts, F.lit(0)), F.lit("")), cut)
+
+    def cut(line: Column) -> Column:
+        words = F.split(F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, 2, 1 << 30)), " ")
+        return let(words, lambda w: F.concat(F.array_join(F.slice(w, 1, max_words), " "), F.when(F.size(w) > max_words, "…").otherwise("")))
+
+    return let(sentences(F.regexp_replace(bare, FLAGS + r"\s+([.,;:)])", "$1")), first_telling)
