@@ -2,9 +2,10 @@
 
 The patterns give the base spans; their letters are ASCII's. The field tags tokens as the begin of a secret, inside one or outside
 (B, I, O) from the token's shape, the neighbouring words and features of the whole text, decoded by
-Viterbi. Only tokens of a candidate's shape (long, of letters with digits) may be B or I; all others are
+Viterbi. Only tokens of a candidate's shape (long, with a letter) may be B or I; all others are
 O by the model's definition, so that a chain falls apart into runs of neighbouring candidates, which are
-decoded one by one with the same result. The weights are trained by this module on sentences that it
+decoded one by one with the same result. An equals sign ends a token and belongs to it as padding only, so
+that the name and the value of NAME=value are two tokens. The weights are trained by this module on sentences that it
 makes itself (train()), and kept beside it.
 
 Defined results: a null text counts as empty and has no spans; spans of the field that touch a base span
@@ -35,8 +36,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 MASK = "[secret]"
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{14,}")
-_MIXED = re.compile(r"[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{14,}(?:=+(?![A-Za-z0-9+/_.~=-]))?")
+_LETTER = re.compile(r"[A-Za-z]")
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]+")
 _WORD_BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z_]*$")
 _WORD_AFTER = re.compile(r"^[^A-Za-z_]*([A-Za-z_]+)")
 HINTS = ("pass", "passwd", "password", "pwd", "secret", "token", "key", "apikey", "auth", "bearer", "credential", "private", "signature", "access")
@@ -63,8 +65,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group().rstrip(".=-")
-        if len(s) >= 14 and _MIXED.search(s) and not s.replace(".", "").replace("-", "").isdigit():
-            out.append((m.start(), m.start() + len(s) + (len(m.group()) - len(s) if m.group().endswith("=") else 0)))
+        if len(s) >= 14 and _LETTER.search(s):
+            end = m.end() if m.group().endswith("=") else m.start() + len(s)
+            if text[m.end() : m.end() + 1] in ('"', "'", "`") and text[m.start() - 1 : m.start()] != text[m.end()]:
+                end = m.start() + len(s)  # the sign before a quote that opens is no padding
+            out.append((m.start(), end))
     return out
 
 
@@ -95,6 +100,8 @@ def features(text: str, start: int, end: int, whole: list[str]) -> list[str]:
         f"slashes:{min(s.count('/'), 3)}",
         f"dashes:{min(s.count('-'), 4)}",
         f"under:{min(s.count('_'), 3)}",
+        f"letters:{int(digits == 0)}{int(upper > 1)}{int(lower > 1)}",
+        f"consonants:{min(max(map(len, _CONSONANTS.findall(body)), default=0), 9)}",
         *whole,
     ]
     if any(s.startswith(p) for p in PREFIXES):
@@ -109,6 +116,8 @@ def features(text: str, start: int, end: int, whole: list[str]) -> list[str]:
         out.append("assigned")
     if before[-1:] in "\"'`" and before and after[:1] == before[-1:]:
         out.append("quoted")
+    if re.match(r"[\"'`]?\s*[=:]", after) or s.endswith("=") and before[-1:] not in "\"'`=" and after[:1].isspace():
+        out.append("name")
     if re.search(r"\.[a-z]{2,5}$", s):
         out.append("suffix")
     parts = re.split(r"[^a-z]+", word)
@@ -233,9 +242,27 @@ def examples(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         lambda: pick(hexa, 32, 64), lambda: pick(alnum, 20, 48), lambda: pick(b64, 28, 64) + r.choice(["", "=", "=="]),
         lambda: "ghp_" + pick(alnum, 36, 36), lambda: "sk_live_" + pick(alnum, 24, 32), lambda: "xoxb-" + pick(dig, 10, 12) + "-" + pick(alnum, 24, 24),
         lambda: "AIza" + pick(alnum + "-_", 35, 35), lambda: "eyJ" + pick(alnum, 20, 30) + "." + pick(alnum, 30, 60) + "." + pick(alnum + "-_", 30, 43), lambda: "glpat-" + pick(alnum, 20, 20),
-        lambda: "AKIA" + pick(up + dig, 16, 16), lambda: pick(hexa.upper(), 32, 40),
+        lambda: "AKIA" + pick(up + dig, 16, 16), lambda: pick(hexa.upper(), 32, 40), lambda: pick(low + up, 20, 48), lambda: pick(low, 20, 40), lambda: pick(up, 20, 40),
     ]
     hint = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth", "bearer", "access_key", "private_key", "credential", "client_secret", "AUTH_TOKEN", "signature"]
+    more = ["access_token", "secret_key", "secret_access_key", "pass", "pwd", "key", "private", "refresh_token", "auth_key", "access", "passphrase", "encryption_key", "credentials", "sig_key"]
+    safe = ["path", "file", "log_file", "home", "image", "image_name", "version", "build_id", "commit", "order", "ref", "url", "host", "class", "name", "title", "redirect", "page", "lang", "checksum", "tracking_id"]
+    parts = lambda: [word() for _ in range(r.randint(2, 4))]
+    clusters = ["ungch", "stsch", "enpf", "lich", "chts", "schutz", "str", "pfer", "ver", "gkeits", "sprach", "rhyth", "ngths"]
+    plain = [
+        lambda: word() + word() + word() + word(), lambda: "".join(r.choice(clusters) for _ in range(r.randint(3, 6))), lambda: "_".join(parts()), lambda: "-".join(parts()), lambda: ".".join(parts()), lambda: "".join(w.title() for w in parts()),
+        lambda: "/" + "/".join(parts()) + "." + r.choice(["log", "txt", "py", "html"]), lambda: "_".join(parts()).upper(), lambda: f"{word()}.example.com/{word()}/{word()}", lambda: r.choice("-_=*.") * r.randint(14, 40),
+    ]
+
+    def name(of: list[str]) -> str:
+        """A name of a setting, alone or of several words, in the cases that are in use."""
+        words = [*(word() for _ in range(r.choice([0, 0, 1, 1, 2]))), *r.choice(of).split("_")]
+        form = r.random()
+        return "_".join(words).upper() if form < 0.5 else "_".join(words).lower() if form < 0.75 else words[0].lower() + "".join(w.title() for w in words[1:]) if form < 0.9 else r.choice("-.").join(words).lower()
+
+    def value() -> str:
+        return r.choice([*plain, lambda: f"{word()}-{word()}-{pick(dig, 1, 4)}", lambda: "-".join(pick(hexa, k, k) for k in (8, 4, 4, 4, 12)), lambda: f"{word()}{word()}{word()}{pick(dig, 1, 3)}"])()
+
     harmless = [
         lambda: f"{word()}.{pick(dig, 2, 3)}@{word()}{pick(dig, 1, 2)}.example", lambda: f"https://www.{word()}{word()}{pick(dig, 1, 3)}.com/{word()}/{word()}-{pick(dig, 3, 6)}.html",
         lambda: "version " + ".".join(pick(dig, 1, 3) for _ in range(3)) + "-" + word() + word() + pick(dig, 1, 2), lambda: "commit " + pick(hexa, 40, 40), lambda: "sha256 checksum " + pick(hexa, 22, 23),
@@ -261,6 +288,19 @@ def examples(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                 start = len(text)
                 text += r.choice(secret[3:10])()
                 found.append((start, len(text)))
+            elif kind < 0.75:  # settings and parameters of addresses: names and values with a sign between, quoted or not
+                address, quote = r.random() < 0.3, r.choice(["", "", "", '"', "'"])
+                sign, text = ("=", text + f"https://{word()}.example/{word()}{word()}?") if address else (r.choice(["=", "=", "=", ":", " = "]), text + r.choice(["", "\n", "export ", "set ", "--"]))
+                for i in range(r.randint(1, 3)):
+                    hidden = r.random() < 0.55
+                    text += ("" if i == 0 else "&" if address else r.choice(["\n", " ", ";", "; "])) + name((hint + more) if hidden else safe) + sign + ("" if address else quote)
+                    start = len(text)
+                    text += r.choice(secret)() if hidden else value()
+                    if hidden:
+                        found.append((start, len(text)))
+                    text += "" if address else quote
+            elif kind < 0.85:
+                text += r.choice(plain)()
             else:
                 text += r.choice(harmless)()
             text += r.choice([" ", ", ", ".\n", " " + prose(1, 6) + " "])

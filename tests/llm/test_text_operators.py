@@ -195,6 +195,38 @@ def test_the_field_finds_secrets_it_was_not_trained_on():
     assert missed <= 0.08 * (right + missed) and wrong <= 0.08 * (right + wrong)
 
 
+def test_unquoted_assignments_are_found_whole():
+    field, r = secret_scan.trained(), random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [(letters + "0123456789", 32), (letters + "0123456789+/", 40), ("0123456789ABCDEF", 32), (letters, 32)]
+    forms = ["{}={}", "see this\n{}={}\nPORT=80", "export {}={}", "a=1;{}={};b=2", "https://h.example/p?{}={}&x=1"]
+    for form in forms:
+        for alphabet, n in kinds:
+            found = 0
+            for _ in range(50):
+                name = r.choice(["AWS_SECRET_ACCESS_KEY", "DB_PASS", "client_key", "PRIVATE_KEY", "SIGNATURE", "access_key"])
+                value = "".join(r.choice(alphabet) for _ in range(n))
+                text = form.format(name, value)
+                at = text.index(value)
+                found += (at, 3, at + n) in secret_scan.spans(text, field)[1]
+            assert found >= 48, (form, alphabet, found)
+    text = "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert secret_scan.redact(text, field) == "AWS_SECRET_ACCESS_KEY=[secret]"
+
+
+def test_an_equals_sign_is_padding_only_at_the_end_of_a_token():
+    cut = lambda text: [text[a:b] for a, b in secret_scan.candidates(text)]
+    assert cut("SOME_LONG_NAME_HERE=abcdefghijklmnop1==&x") == ["SOME_LONG_NAME_HERE", "abcdefghijklmnop1=="]
+    assert cut("SOME_LONG_NAME_HERE=\"abcdefghijklmnop1=\"") == ["SOME_LONG_NAME_HERE", "abcdefghijklmnop1="]
+    assert cut("-" * 30 + " 123-456-789-012-345") == []
+
+
+def test_harmless_assignments_are_left_alone():
+    field = secret_scan.trained()
+    for text in ["JAVA_HOME=/usr/lib/jvm/java-17-openjdk-amd64", 'class="navigation-container-wrapper"', "uuid=123e4567-e89b-12d3-a456-426614174000", "DATABASE_NAME=production_database", "spring.application.name=inventory-service-backend"]:
+        assert secret_scan.spans(text, field)[1] == []
+
+
 def test_clean_prose_has_no_secrets(docs, rows):
     got = secret_scan.scan(docs.filter("doc_id < 160")).collect()
     assert all(r["spans"] == "" for r in got)
