@@ -1,9 +1,14 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document; the ledger keeps what was measured and one failure bit per
-rule. A policy is a versioned mask: a document passes it if no failed rule is in the mask. Ablations
-(what a policy would keep without one rule) are bitwise aggregates over the ledger, so that texts are
-read only once whatever the number of policies.
+rule. A policy is a version of the rules and a mask: a document passes it if no failed rule is in the mask.
+Ablations (what a policy would keep without one rule) are bitwise aggregates over the ledger, so that texts
+are read only once whatever the number of policies: the bits of any version follow from the measurements.
+
+Variety is held against the whole text up to v2, which length alone fails, as vocabulary grows slower than
+text. From v3 on it is the mean over windows of VARIETY_WINDOW words (the last one ends with the text), which
+length does not change; all windows count, and texts of up to one window are judged as before. What repeats
+over longer distances is left to repeated_words, which compares the whole text.
 
 Defined results: a null text has no word (all measures 0, too_few_words set); a blank text likewise;
 repeated rows and extra columns pass through untouched; an empty table gives an empty ledger.
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import SPACE, word_array
 
 WINDOW = 8
+VARIETY_WINDOW = 4096
 
 #: name -> failed, from the measurements. The order fixes the bits; new rules are appended.
 RULES: dict[str, str] = {
@@ -28,6 +34,10 @@ RULES: dict[str, str] = {
     "repeated_lines": "10 * n_dup_lines > 7 * n_lines",
     "word_length": "word_chars > 25 * n_words OR 2 * word_chars < 3 * n_words",
 }
+#: version -> rules that are measured in another way than RULES says, under the same bit.
+REVISED: dict[str, dict[str, str]] = {
+    "v3": {"low_variety": f"8 * n_window_distinct < IF(n_words > {VARIETY_WINDOW}, {VARIETY_WINDOW} * ceil(n_words / {VARIETY_WINDOW}), n_words)"},
+}
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 BASE = BIT["too_few_words"] | BIT["repeated_words"]
 
@@ -36,10 +46,13 @@ POLICIES: dict[str, int] = {
     "base": BASE,
     "v1": sum(BIT.values()),
     "v2_no_variety": sum(BIT.values()) & ~BIT["low_variety"],
+    "v3": sum(BIT.values()),
 }
-CURRENT = "v1"
+CURRENT = "v3"
+#: The version that OP2_SQL states.
+RECORDED = "v1"
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_window_distinct"]
 
 
 def _let(value: Column, body) -> Column:
@@ -70,6 +83,15 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(pairs, covered)).cast("long")
 
 
+def _window_distinct(words: Column) -> Column:
+    """Distinct words of each window of VARIETY_WINDOW words, added up; of the whole text if it is no longer."""
+    n = F.size(words)
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(VARIETY_WINDOW))
+    counts = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(words, F.least(i, n - VARIETY_WINDOW) + 1, VARIETY_WINDOW))).cast("long"))
+    added = F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
+    return F.when(n > VARIETY_WINDOW, added).otherwise(F.size(F.array_distinct(words)).cast("long"))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each row with the measurements in a struct column `_measures`; only built-in expressions."""
     value = F.coalesce(F.col(text), F.lit(""))
@@ -96,35 +118,36 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 F.size("_lines").cast("long").alias("n_lines"),
                 F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"),
                 (F.length(value) - without(r"\p{Lu}+")).cast("long").alias("n_upper"),
+                _window_distinct(F.col("_words")).alias("n_window_distinct"),
             ).alias("_measures")))),
         )
     )
 
 
-def fail_bits() -> Column:
-    """The failure bits of the rules, from columns of the measures' names."""
+def fail_bits(version: str = CURRENT) -> Column:
+    """The failure bits of the version's rules, from columns of the measures' names."""
     bits = F.lit(0).cast("long")
-    for name, rule in RULES.items():
+    for name, rule in (RULES | REVISED.get(version, {})).items():
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
     return bits
 
 
 def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, the measurements and fail_bits: what policies and ablations need, without the texts."""
+    """key, the measurements and fail_bits (of the current version): what policies and ablations need, without the texts."""
     measured = measure(docs.select(F.col(key), F.col(text)), text).select(key, "_measures.*")
     return measured.withColumn("fail_bits", fail_bits())
 
 
 def apply_policy(book: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The ledger with `kept`: no failed rule is in the policy's mask."""
-    return book.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0)
+    """The ledger with the version's fail_bits and `kept`: no failed rule is in the policy's mask."""
+    return book.withColumn("fail_bits", fail_bits(version)).withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0)
 
 
 def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
     """One row per rule of the policy: documents it fails, documents that only it rejects (kept without it),
     and documents that the whole policy rejects. One aggregation of the ledger; nothing is read again."""
     mask = POLICIES[version]
-    hit = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long"))
+    hit = fail_bits(version).bitwiseAND(F.lit(mask).cast("long"))
     rules = [name for name in RULES if BIT[name] & mask]
     counts = [F.struct(F.lit(r).alias("rule"), F.count_if(hit.bitwiseAND(F.lit(BIT[r]).cast("long")) != 0).alias("failed"), F.count_if(hit == BIT[r]).alias("only_rule")) for r in rules]
     out = book.agg(F.array(*counts).alias("rules"), F.count_if(hit != 0).alias("rejected"), F.bit_or(hit).alias("any_bits"))
@@ -136,7 +159,7 @@ def filter_documents(docs: DataFrame, version: str = CURRENT, text: str = "text"
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").alias("_text"))
     measured = measure(inner, "_text").select("_row", "_measures.*")
-    kept = apply_policy(measured.withColumn("fail_bits", fail_bits()), version).filter("kept")
+    kept = apply_policy(measured, version).filter("kept")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
@@ -179,7 +202,7 @@ FROM r
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """The per-document rule record under the current policy."""
-    book = apply_policy(ledger(docs), CURRENT)
+    """The per-document rule record under the policy of its SQL."""
+    book = apply_policy(ledger(docs), RECORDED)
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE).cast("long")) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")

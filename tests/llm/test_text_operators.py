@@ -79,6 +79,27 @@ def test_rules_filter_and_ablate(docs, rows, empty):
     assert quality_rules.op2(empty).count() == quality_rules.filter_documents(empty).count() == 0
 
 
+def test_variety_does_not_depend_on_length(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{i:05d}" for i in range(16_000)]
+    clean = " ".join(r.choice(vocabulary) for _ in range(160_000))
+    poor = " ".join(r.choice(vocabulary[:300]) for _ in range(50_000))
+    edge = " ".join(r.choice(vocabulary[:300]) for _ in range(quality_rules.VARIETY_WINDOW + 1))
+    short = " ".join(vocabulary[:3]) + " " + " ".join(vocabulary[i % 3] for i in range(60))
+    texts = [clean, poor, edge, short, None, "", " ".join(vocabulary[: quality_rules.VARIETY_WINDOW])]
+    table = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in enumerate(texts)], SCHEMA)
+    book = quality_rules.ledger(table)
+    bit = quality_rules.BIT["low_variety"]
+    low = lambda version: {r["doc_id"] for r in quality_rules.apply_policy(book, version).collect() if r["fail_bits"] & bit}
+    assert low("v1") == {0, 1, 2, 3} and low("v3") == {1, 2, 3}
+    assert {r["doc_id"] for r in quality_rules.filter_documents(table).collect()} == {0, 6}
+    size = quality_rules.VARIETY_WINDOW
+    for row in book.select("doc_id", "n_window_distinct").collect():
+        ws = WORD.findall(texts[row["doc_id"]] or "")
+        starts = [min(i, max(0, len(ws) - size)) for i in range(0, len(ws), size)]
+        assert row["n_window_distinct"] == sum(len(set(ws[i : i + size])) for i in starts)
+
+
 # --- language
 
 
