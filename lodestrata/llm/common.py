@@ -32,6 +32,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+#: A key of more than one in so many rows is one of fewer than so many keys.
+HOT_PARTS = 4096
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, times: str) -> DataFrame:
+    """rows joined with table, which has a row for each of their keys (never null) and in `times` how many rows have it.
+
+    Keys of more than 1/HOT_PARTS of the rows, fewer than HOT_PARTS therefore, are broadcast, so that no task gets
+    all rows of a frequent key; the others are joined by key. Both frames are read twice."""
+    total = table.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    hot = F.col(times) * HOT_PARTS > F.lit(total)
+    frequent, rest = table.filter(hot).drop(times), table.filter(~hot).drop(times)
+    others = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(frequent), key).unionByName(others)
+
+
 def flushed(rows: Iterator[tuple], schema: pa.Schema, most: int = 2048) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of a bounded number of rows."""
     held: list[tuple] = []

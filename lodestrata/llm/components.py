@@ -2,6 +2,9 @@
 
 Each round is joins and aggregations only; nothing is collected but two sums that tell whether the
 links still change. The number of rounds grows with the logarithm of the number of nodes.
+
+Defined results: a link of a node to itself, or with a null node, is left out, as is a node that has no other;
+repeated links and both directions of one count once; no links give no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import cut_lineage
+from lodestrata.session import cut_lineage, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -35,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     e = cut_lineage(pairs)
     before = _state(e)
     while True:
-        e = cut_lineage(_small_star(_large_star(e)))
+        e, old = cut_lineage(_small_star(_large_star(e))), e
+        release(old)
         now = _state(e)
         if now == before:
             break

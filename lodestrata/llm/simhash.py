@@ -2,36 +2,46 @@
 
 Fingerprints that differ in at most MAX_BITS = 2 bits differ in at most 2 of their 8 bytes, so they share
 6 positional bytes at least. Postings of single bytes would be as long as the corpus / 256; the index is
-therefore keyed by four positional bytes at once, in the six ways to choose two of the four byte pairs,
-one of which any two linked fingerprints share. Within a posting the shared positional bytes of a pair
-are tallied, pairs with fewer than 6 are dropped, and the rest is verified by the bits that differ.
-
-Postings of more than POSTING fingerprints are not paired up. Their fingerprints are linked through the
-values one bit away instead: two fingerprints differ in at most 2 bits exactly if they have such a value
-(or themselves) in common, and at most 65 distinct fingerprints meet at a value. Copies count once: all
-of this works on distinct fingerprints.
+therefore keyed by four positional bytes at once, in the 14 ways BLOCKS, which hold any three byte positions just
+once together. Two fingerprints that share 4 or 5 positional bytes have at most one key in common, those that share 6 have 3,
+7 have 7: how many keys a pair has in common tells its shared positional bytes. Pairs are tallied over the
+whole index, those with fewer than the guaranteed MIN_HITS = 3 are dropped, and the rest is verified by the
+bits that differ.
+
+A posting of more than POSTING fingerprints is not paired up but split by further positional bytes: what shares 6
+bytes shares two of the other four, in one of 6 ways at least, and is split once more, if need be, by nibbles of the
+last two bytes, of which at most 2 differ in linked fingerprints; that leaves 256 at most. Split postings count for
+their own block, so that the tallies stay the same whatever POSTING is. Copies count once: all of this works on
+distinct fingerprints. Fingerprints of many documents are joined back by broadcast, see common.by_key().
 
 Defined results: a null text, or one without words, has the fingerprint 0, which is linked like any other.
 A null doc_id never is a component_id unless a component has no other. Repeated rows are copies of each
-other; extra columns pass through dedup() untouched.
+other; of rows alike in id and text dedup() keeps any one. Extra columns pass through dedup() untouched. Very long texts
+are fingerprinted whole, in blocks of hashes. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import by_key
 from lodestrata.llm.components import components
 from lodestrata.session import cut_lineage
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-POSTING = 32
+#: The sets of four byte positions whose numbers cancel out: any three positions are in one of them, any two outside of three.
+BLOCKS = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+MIN_HITS = 3
+#: Most fingerprints of a posting that are paired up without splitting it.
+POSTING = 128
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -63,41 +73,85 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("text", *keep).mapInArrow(run, f"{kept}, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """a, b: links that join up exactly the fingerprints (distinct, column fp) within MAX_BITS of each other."""
-    masks = [(0xFFFF << (16 * i)) | (0xFFFF << (16 * j)) for i, j in combinations(range(4), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(n).alias("way"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for n, m in enumerate(signed)])
-    postings = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.way", "k.key")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _mask(places: tuple[int, ...], width: int) -> int:
+    return sum(((1 << width) - 1) << (width * p) for p in places)
+
+
+def _nibbles(two: tuple[int, ...]) -> list[int]:
+    """Of the four nibbles of two bytes, the masks of each two."""
+    return [_mask(n, 4) for n in combinations([2 * two[0], 2 * two[0] + 1, 2 * two[1], 2 * two[1] + 1], 2)]
+
+
+def ways() -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """For each block its mask, and what its postings are split by: masks of two further bytes, and for each of these masks of two further nibbles."""
+    out = []
+    for block in BLOCKS:
+        others = [p for p in range(8) if p not in block]
+        split = [(_mask(block, 8) | _mask(two, 8), [_mask(block, 8) | _mask(two, 8) | m for m in _nibbles(tuple(p for p in others if p not in two))]) for two in combinations(others, 2)]
+        out.append((_mask(block, 8), split))
+    return out
+
+
+def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
+    """fp, block, way, key for each of an array<struct<block, way, mask>>; way tells the masks apart."""
+    each = rows.select("fp", F.inline(masks))
+    return each.select("fp", "block", "way", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+
+def _listed(block: int, masks: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(block).alias("block"), F.lit(way).alias("way"), F.lit(_signed(m)).cast("long").alias("mask")) for way, m in masks])
+
+
+def _parted(postings: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The postings of two to POSTING fingerprints, and the longer ones (None if there are none)."""
     sizes = postings.groupBy("way", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut_lineage(postings.join(sizes, ["way", "key"]))
+    longer = shared.filter(F.col("n") > POSTING)
+    return shared.filter(F.col("n") <= POSTING).drop("n"), None if longer.isEmpty() else longer.drop("n")
+
+
+def hits(distinct: DataFrame) -> DataFrame:
+    """a, b, block: the pairs of fingerprints (distinct, column fp) that meet in a posting, a < b; all pairs that share 6 positional
+    bytes and differ in at most MAX_BITS bits are among them, for each block of bytes that they share."""
+    tree = ways()
+    short, longer = _parted(_keyed(distinct, F.array(*[F.struct(F.lit(b).alias("block"), F.lit(b).alias("way"), F.lit(_signed(m)).cast("long").alias("mask")) for b, (m, _) in enumerate(tree)])))
+    paired = [short]
+    if longer is not None:
+        split = F.element_at(F.array(*[_listed(b, [(6 * b + i, m) for i, (m, _) in enumerate(parts)]) for b, (_, parts) in enumerate(tree)]), F.col("way") + 1)
+        short, longer = _parted(_keyed(longer, split))
+        paired.append(short)
+    if longer is not None:
+        nibbles = [(b, 6 * b + i, masks) for b, (_, parts) in enumerate(tree) for i, (_, masks) in enumerate(parts)]
+        split = F.element_at(F.array(*[_listed(b, [(6 * w + i, m) for i, m in enumerate(masks)]) for b, w, masks in nibbles]), F.col("way") + 1)
+        paired.append(_keyed(longer, split))
+    met = [p.alias("x").join(p.alias("y"), ["way", "key"]).filter(F.col("x.fp") < F.col("y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.block").alias("block")) for p in paired]
+    return reduce(DataFrame.union, met)
 
-    few = shared.filter(F.col("n") <= POSTING)
-    pairs = few.alias("x").join(few.alias("y"), ["way", "key"]).filter(F.col("x.fp") < F.col("y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    byte_equal = [F.when(F.shiftrightunsigned(differ, 8 * p).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for p in range(8)]
-    tally = sum(byte_equal[1:], byte_equal[0])
-    near = pairs.filter(tally >= 8 - MAX_BITS).filter(F.bit_count(differ) <= MAX_BITS)
 
-    many = shared.filter(F.col("n") > POSTING).select("fp").distinct()
-    values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(-(1 << 63) if p == 63 else 1 << p).cast("long")) for p in range(64)])
-    met = many.select("fp", F.explode(values).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    star = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter(F.col("a") != F.col("b"))
-    return near.union(star).distinct()
+def links(distinct: DataFrame) -> DataFrame:
+    """a, b, bytes: all pairs of fingerprints (distinct, column fp) within MAX_BITS of each other, and how many positional bytes they share."""
+    tallied = hits(distinct).groupBy("a", "b").agg(F.expr("bit_count(bit_or(shiftleft(1, block)))").alias("hits")).filter(F.col("hits") >= MIN_HITS)
+    near = tallied.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    return near.select("a", "b", F.when(F.col("hits") == MIN_HITS, 6).otherwise(7).alias("bytes"))
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """fp, component_id for each distinct fingerprint of fps (doc_id, fp): the smallest doc_id of its component."""
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    """fp, component_id, root, n for each distinct fingerprint of fps (doc_id, fp): the smallest doc_id of its component, its
+    component's least fingerprint and its number of documents."""
+    distinct = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     member = components(links(distinct.select("fp"))).select(F.col("u").alias("fp"), "root")
     rooted = distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = distinct.join(member, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    return rooted.join(linked, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "root")
+    return rooted.join(linked, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "root", "n")
 
 
 def op5(docs: DataFrame) -> DataFrame:
     fps = cut_lineage(fingerprints(docs, "doc_id"))
-    found = fps.join(classes(fps).select("fp", "component_id"), "fp")
+    found = by_key(fps, cut_lineage(classes(fps).drop("root")), "fp", "n")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -111,6 +165,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = fps.groupBy("fp").agg(one.alias("one"))
     stay = first.join(classes(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.coalesce("one.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("one._h").alias("_h"))
     keyed = rows.select("_row", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_h")
-    kept = keyed.join(stay, ["_id", "_h"], "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id"))).filter("_n = 1")
-    return once.select(*[F.col("_row").getField(c).alias(c) for c in names])
+    # Repeated rows are reduced within each task before they are dealt out by their key.
+    kept = keyed.dropDuplicates(["_id", "_h"]).join(stay, ["_id", "_h"], "left_semi")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])

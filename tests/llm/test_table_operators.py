@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, components, mixing, quality_rules, secret_scan, sharding, simhash, topk_search
+from lodestrata.llm import bpe, common, components, mixing, quality_rules, secret_scan, sharding, simhash, topk_search
 
 from .conftest import EXTRA, NAMES, SCHEMA, prose
 
@@ -196,10 +196,17 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("posting", [32, 2])
-def test_links_join_up_all_near_fingerprints(spark, monkeypatch, posting):
-    monkeypatch.setattr(simhash, "POSTING", posting)
-    r = random.Random(7)
+def test_frequent_and_rare_keys_are_joined_alike(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_PARTS", 10)
+    r = random.Random(3)
+    rows = [(i, r.choice([1, 1, 1, 2, 2, *range(3, 60)])) for i in range(500)]
+    table = spark.createDataFrame([(k, k * k, n) for k, n in Counter(k for _, k in rows).items()], "key long, square long, n long")
+    got = common.by_key(spark.createDataFrame(rows, "id long, key long"), table, "key", "n")
+    assert keyed((x["id"], x["key"], x["square"]) for x in got.collect()) == keyed((i, k, k * k) for i, k in rows)
+
+
+def near_points(seed):
+    r = random.Random(seed)
     points = {r.getrandbits(64) for _ in range(150)} | {0, (1 << 64) - 1}
     for p in list(points)[:60]:
         for _ in range(r.randint(0, 4)):
@@ -207,25 +214,62 @@ def test_links_join_up_all_near_fingerprints(spark, monkeypatch, posting):
             points.add(p)
     hub = r.getrandbits(64)
     points |= {hub ^ (1 << b) for b in range(0, 64, 2)} | {hub ^ 0b111}
-    want = classes(points)
+    return points | {hub ^ (x << 8 * r.randint(0, 7)) for x in range(40)}
+
+
+def shared_bytes(a, b):
+    return sum((a >> 8 * p & 255) == (b >> 8 * p & 255) for p in range(8))
+
+
+@pytest.mark.parametrize("posting", [128, 6, 1])
+def test_links_are_all_pairs_of_near_fingerprints(spark, monkeypatch, posting):
+    monkeypatch.setattr(simhash, "POSTING", posting)
+    points = near_points(7)
     table = spark.createDataFrame([(signed(p),) for p in points], "fp long")
-    found = simhash.links(table)
-    assert all(((x["a"] ^ x["b"]) & (1 << 64) - 1).bit_count() <= 2 or posting == 2 for x in found.collect())
-    root = {x["u"]: x["root"] for x in components.components(found).collect()}
-    got = defaultdict(set)
+    got = Counter((x["a"], x["b"], x["bytes"]) for x in simhash.links(table).collect())
+    want = Counter((*sorted((signed(a), signed(b))), shared_bytes(a, b)) for a in points for b in points if a < b and (a ^ b).bit_count() <= 2)
+    assert got == want and len(want) > 500
+    root = {x["u"]: x["root"] for x in components.components(simhash.links(table)).collect()}
+    together, brute = defaultdict(set), defaultdict(set)
     for p in points:
-        got[root.get(signed(p), signed(p))].add(p)
-    brute = defaultdict(set)
-    for p, c in want.items():
+        together[root.get(signed(p), signed(p))].add(p)
+    for p, c in classes(points).items():
         brute[c].add(p)
-    assert keyed(map(sorted, got.values())) == keyed(map(sorted, brute.values()))
+    assert keyed(map(sorted, together.values())) == keyed(map(sorted, brute.values()))
+
+
+def test_tallies_of_the_index_are_the_shared_bytes(spark):
+    """All pairs that share six positional bytes have three blocks in common at least, all others one at most."""
+    points = sorted(near_points(9))
+    table = spark.createDataFrame([(signed(p),) for p in points], "fp long")
+    tally = Counter((x["a"], x["b"]) for x in simhash.hits(table).distinct().collect())
+    for i, a in enumerate(points):
+        for b in points[i + 1 :]:
+            n = shared_bytes(a, b)
+            assert tally[tuple(sorted((signed(a), signed(b))))] in {4: (0, 1), 5: (1,), 6: (3,), 7: (7,)}.get(n, (0,))
+
+
+def test_a_very_long_posting(spark):
+    """More than a hundred thousand fingerprints of one posting, a few of them linked."""
+    r = random.Random(31)
+    points = list({0x1122334400000000 | x for x in r.sample(range(1 << 32), 100_500)})
+    near = [p ^ (1 << r.randrange(32)) ^ (1 << r.randrange(32, 64)) for p in points[:50]] + [p ^ 0b11 for p in points[50:100]]
+    every = sorted({*points, *near})
+    got = {(x["a"], x["b"]) for x in simhash.links(spark.createDataFrame([(signed(p),) for p in every], "fp long")).collect()}
+    assert {tuple(sorted((signed(a), signed(b)))) for a, b in zip(points, near, strict=False) if a != b} <= got
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in got)
+    some = set(every)
+    flips = [1 << x for x in range(64)] + [(1 << x) | (1 << y) for x in range(64) for y in range(x)]
+    for p in r.sample(every, 300):
+        assert {signed(p ^ f) for f in flips if p ^ f in some} == {b if a == signed(p) else a for a, b in got if signed(p) in (a, b)}
 
 
 def test_components_of_long_chains(spark):
-    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (1000, 1001), (5000, 5000), (None, 7), (8, None), (None, None)]
     random.Random(1).shuffle(edges)
     got = {r["u"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+    assert components.components(spark.createDataFrame([], "a long, b long, u string")).count() == 0
 
 
 def test_dedup_keeps_one_of_each(docs, rows):
