@@ -2,18 +2,24 @@
 
 A text is read as its words (runs of letters, in lower case), each between a start and an end mark; a
 language's model gives each character its chance after the up to ORDER - 1 characters before it in the word.
-The chances of all n-grams that any language has seen are worked out beforehand and stored for all languages
-in one sorted array of hashes per order, beside the interpolation weights of the contexts; scoring is
+The chances of the n-grams that a language has seen are worked out beforehand and stored in one sorted array of
+hashes per order, each hash with the languages that have it, beside the interpolation weights of the contexts; scoring is
 binary search from the longest n-gram down. The language of lowest cross-entropy per character wins; the
 score is a softmax of the cross-entropies whose temperature is calibrated on documents that were not
-trained on, and `rejected` marks texts that their best model fits worse than it fits such documents.
+trained on. `rejected` marks texts that their best model fits worse than all but REJECTED of such documents of
+the language: so much is the rate at which documents of the language are rejected wrongly.
 
-The models are fitted on a bounded sample: TRAIN_DOCS documents a language, CALIBRATION_DOCS more for the
-calibration, chosen by a hash of the id. All documents are scored, whole.
+The models are fitted on a bounded sample: TRAIN_DOCS documents a language and CALIBRATION_DOCS more for the
+calibration, chosen by a hash of the id, of TRAIN_CHARS characters a language and ALL_CHARS in all at most (but one document
+at least; texts longer than the bound come last). Every language has a document to train on before any is kept for
+calibration. A language with fewer than LEAST_CALIBRATED of these takes the limit of all languages together, and
+without any documents for calibration nothing but texts without letters is rejected. All documents are scored, whole.
 
-Defined results: `und` with score 0 for null texts, texts without a letter, and when there is no labelled
+Defined results: `und` with score 0 for null texts, texts without a letter, and all texts when there is no labelled
 text to learn from; documents of null id are never held out and never learned from; ties go to the language
-first in order. Repeated rows and extra columns need no special case.
+first in order, of texts of one place in the sample to the smaller hash. A labelled text without letters teaches its
+language nothing; a language that has no others isn't learned. An empty table gives no rows. Very long texts are read whole, word
+by word. Repeated rows and extra columns need no special case.
 """
 
 from __future__ import annotations
@@ -27,10 +33,17 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut_lineage, release
+
 ORDER = 5
 TRAIN_DOCS, CALIBRATION_DOCS = 300, 100
+#: Most characters that are learned from, of a language and of all.
+TRAIN_CHARS, ALL_CHARS = 1_000_000, 16_000_000
+#: The part of a language's own documents that its limit rejects, and the fewest documents to find a limit by.
+REJECTED, LEAST_CALIBRATED = 0.01, 20
 UNKNOWN = "und"
-WORDS_HELD = 200_000
+#: Numbers (words times languages) that a worker remembers, and works out at once.
+SCORES_HELD, SCORES_AT_ONCE = 800_000, 80_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _letters = regex.compile(r"\p{L}+").findall
@@ -67,68 +80,43 @@ def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _sums(keys: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The weights summed by hash, in the order of the sorted keys, which hold all hashes."""
-    return np.bincount(np.searchsorted(keys, hashes), weights=weights, minlength=len(keys))
+class Rows:
+    """A sorted array of hashes, each with the languages that have it and a number for each of them."""
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]):
+        """found: for each language its sorted hashes and their numbers."""
+        h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+        lang = np.repeat(np.arange(len(found), dtype=np.int32), [len(f[0]) for f in found])
+        order = np.argsort(h, kind="stable")
+        self.keys, first = np.unique(h[order], return_index=True)
+        self.starts = np.append(first, len(h)).astype(np.int64)
+        self.langs = lang[order]
+        self.values = (np.concatenate([f[1] for f in found])[order] if found else np.zeros(0)).astype(np.float32)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position among hashes, language and number of each entry of those that are there."""
+        at, row = _find(self.keys, hashes)
+        at = np.flatnonzero(at)
+        row = row[at]
+        n = self.starts[row + 1] - self.starts[row]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[row], n)
+        return np.repeat(at, n), self.langs[entry], self.values[entry]
 
 
 class Model:
-    """Sorted hash arrays of n-grams (keys[k], logs[k]) and of contexts (context_keys[k], context_logs[k])."""
+    """grams[k]: log2 of the chances of n-grams of k characters; contexts[k]: log2 of the weights that what is below
+    an n-gram of k characters has after a context of k - 1."""
 
     def __init__(self, counts: dict[str, dict[str, int]], order: int = ORDER):
-        self.langs, self.order = sorted(counts), order
+        self.langs, self.order = sorted(lang for lang, own in counts.items() if own), order
         self.temperature, self.limits = 20.0, {}
-        n = len(self.langs)
-        data = []
-        for lang in self.langs:
-            texts = sorted(counts[lang])
-            codes, place, word = _codes(texts)
-            data.append((_hashes(codes, order), place, np.array([counts[lang][t] for t in texts], float)[word] if texts else np.zeros(0), codes))
-        alphabet = set().union(*(np.unique(d[3]).tolist() for d in data)) if data else set()
-        self.keys, self.logs, self.context_keys, self.context_logs = [None], [None], [None], [None]
+        codes = {lang: _codes(sorted(counts[lang])) for lang in self.langs}
+        # What may come next: the letters that any language has seen, the end of the word, and one place for all others.
+        alphabet = set().union(*(np.unique(c[0]).tolist() for c in codes.values())) - {1} if codes else set()
         uniform = 1.0 / (len(alphabet) + 1)
-        lower = None
-        for k in range(1, order + 1):
-            grams, contexts, at = [], [], []
-            for h, place, _, _ in data:
-                ok = np.flatnonzero((place >= max(1, k - 1)))
-                at.append(ok)
-                grams.append(h[k][ok])
-                contexts.append(h[k - 1][ok - 1] if k > 1 else np.zeros(len(ok), np.uint64))
-            keys = np.unique(np.concatenate(grams)) if data else np.zeros(0, np.uint64)
-            context_keys = np.unique(np.concatenate(contexts)) if data else np.zeros(0, np.uint64)
-            context_of, suffix_of = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            chances, weights = np.zeros((len(keys), n)), np.ones((len(context_keys), n))
-            for (h, _, _, _), ok, gram, context in zip(data, at, grams, contexts, strict=True):
-                i = np.searchsorted(keys, gram)
-                context_of[i] = np.searchsorted(context_keys, context)
-                if k > 1:
-                    suffix_of[i] = np.searchsorted(self.keys[k - 1], h[k - 1][ok])
-            for lang, ((h, place, times, _), ok, gram) in enumerate(zip(data, at, grams, strict=True)):
-                raw = _sums(keys, gram, times[ok])
-                if k < order:  # how many different characters come before; grams at a word's start have none
-                    more = np.flatnonzero(place >= k)
-                    _, first = np.unique(h[k + 1][more], return_index=True)
-                    count = _sums(keys, h[k][more[first]], np.ones(len(first)))
-                    starting = np.zeros(len(keys), bool)
-                    starting[np.searchsorted(keys, h[k][ok[place[ok] == k - 1]])] = True
-                    count = np.where(starting, raw, count)
-                else:
-                    count = raw
-                once, twice = float((count == 1).sum()), float((count == 2).sum())
-                off = once / (once + 2 * twice) if once and twice else 0.5
-                total = np.bincount(context_of, weights=count, minlength=len(context_keys))
-                types = np.bincount(context_of, weights=count > 0, minlength=len(context_keys))
-                seen = total > 0
-                safe = np.where(seen, total, 1.0)
-                weights[:, lang] = np.where(seen, off * types / safe, 1.0)
-                below = uniform if k == 1 else lower[suffix_of, lang]
-                chances[:, lang] = np.maximum(count - off, 0) / safe[context_of] + weights[context_of, lang] * below
-            lower = chances
-            self.keys.append(keys)
-            self.logs.append(np.log2(chances).astype(np.float32))
-            self.context_keys.append(context_keys)
-            self.context_logs.append(np.log2(weights).astype(np.float32))
+        made = [_estimated(codes[lang], np.array([counts[lang][t] for t in sorted(counts[lang])], float), order, uniform) for lang in self.langs]
+        self.grams = [None, *(Rows([m[k][0] for m in made]) for k in range(order))]
+        self.contexts = [None, *(Rows([m[k][1] for m in made]) for k in range(order))]
         self.floor = np.float32(np.log2(uniform))
 
     def score_words(self, texts: list[str]) -> np.ndarray:
@@ -136,26 +124,53 @@ class Model:
         codes, place, word = _codes(texts)
         h = _hashes(codes, self.order)
         total = np.zeros((len(codes), len(self.langs)), np.float32)
-        todo = np.flatnonzero(place >= 1)
+        open_ = np.repeat((place >= 1)[:, None], len(self.langs), axis=1)
         for k in range(self.order, 0, -1):
-            if not len(todo):
-                break
-            mine = todo[place[todo] >= k - 1] if k > 1 else todo
-            rest = todo[place[todo] < k - 1] if k > 1 else todo[:0]
-            found, i = _find(self.keys[k], h[k][mine])
-            total[mine[found]] += self.logs[k][i[found]]
-            missed = mine[~found]
-            context = h[k - 1][missed - 1] if k > 1 else np.zeros(len(missed), np.uint64)
-            known, j = _find(self.context_keys[k], context)
-            total[missed[known]] += self.context_logs[k][j[known]]
-            todo = np.concatenate([missed, rest])
-        total[todo] += self.floor
+            mine = np.flatnonzero((place >= max(1, k - 1)) & open_.any(axis=1))
+            at, lang, value = self.grams[k].look_up(h[k][mine])
+            at = mine[at]
+            fits = open_[at, lang]
+            total[at[fits], lang[fits]] += value[fits]
+            open_[at[fits], lang[fits]] = False
+            at, lang, value = self.contexts[k].look_up(h[k - 1][mine - 1] if k > 1 else np.zeros(len(mine), np.uint64))
+            at = mine[at]
+            missed = open_[at, lang]
+            total[at[missed], lang[missed]] += value[missed]
+        total += np.where(open_, self.floor, np.float32(0))
         out = np.zeros((len(texts), len(self.langs)))
         for lang in range(len(self.langs)):
             out[:, lang] = np.bincount(word, weights=total[:, lang], minlength=len(texts))
         return out
 
 
+def _estimated(coded: tuple[np.ndarray, np.ndarray, np.ndarray], times: np.ndarray, order: int, uniform: float) -> list[tuple]:
+    """For each order of one language, ((hashes, log2 chances) of its n-grams, (hashes, log2 weights) of their contexts)."""
+    codes, place, word = coded
+    h, out, lower = _hashes(codes, order), [], None
+    for k in range(1, order + 1):
+        ok = np.flatnonzero(place >= max(1, k - 1))
+        grams, first, of = np.unique(h[k][ok], return_index=True, return_inverse=True)
+        before = h[k - 1][ok - 1] if k > 1 else np.zeros(len(ok), np.uint64)
+        contexts, context_of = np.unique(before[first], return_inverse=True)
+        raw = np.bincount(of, weights=times[word[ok]], minlength=len(grams))
+        count = raw
+        if k < order:  # how many different characters come before; n-grams that begin a word have none
+            _, longer = np.unique(h[k + 1][np.flatnonzero(place >= k)], return_index=True)
+            ends = h[k][np.flatnonzero(place >= k)][longer]
+            count = np.bincount(np.searchsorted(grams, ends), minlength=len(grams)).astype(float)
+            starting = place[ok[first]] == k - 1
+            count = np.where(starting, raw, count)
+        once, twice = float((count == 1).sum()), float((count == 2).sum())
+        off = once / (once + 2 * twice) if once and twice else 0.5
+        total = np.bincount(context_of, weights=count, minlength=len(contexts))
+        weights = off * np.bincount(context_of, minlength=len(contexts)) / total
+        below = uniform if k == 1 else lower[1][np.searchsorted(lower[0], h[k - 1][ok[first]])]
+        chance = (count - off) / total[context_of] + weights[context_of] * below
+        lower = (grams, chance)
+        out.append(((grams, np.log2(chance)), (contexts, np.log2(weights))))
+    return out
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
@@ -174,12 +189,14 @@ class Scorer:
     def entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
         counted = [Counter(words(t)) for t in texts]
         new = list(dict.fromkeys(w for c in counted for w in c if w not in self.index))
-        if len(self.index) + len(new) > WORDS_HELD:
+        langs = max(1, len(self.model.langs))
+        if len(self.index) + len(new) > SCORES_HELD // langs:
             self.index, self.table = {}, self.table[:0]
             new = list(dict.fromkeys(w for c in counted for w in c))
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, *(self.model.score_words(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+            step = max(64, SCORES_AT_ONCE // langs)
+            self.table = np.concatenate([self.table, *(self.model.score_words(new[i : i + step]) for i in range(0, len(new), step))])
         return [self._one(c) for c in counted]
 
     def _one(self, counted: Counter) -> np.ndarray | None:
@@ -209,18 +226,31 @@ def _batches(batch: pa.RecordBatch, column: int, chars: int = 2_000_000) -> Iter
         yield batch.slice(low)
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
-    """Models of the languages of docs (doc_id, text, lang), from a bounded sample of rows that aren't held out."""
-    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+def sampled(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> tuple[DataFrame, list[str]]:
+    """lang, text, training (boolean) of the sample to fit on, and the languages in it; docs as of fit()."""
+    usable = docs.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    wanted = train_docs + calibration_docs
+    wanted, chars = train_docs + calibration_docs, max(1, min(TRAIN_CHARS, ALL_CHARS // max(1, len(sizes))))
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    rate = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 1.5 * wanted / n)))]) if sizes else None
-    if not sizes:
+    rate = F.element_at(F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 1.5 * wanted / n)))]), F.col("lang")) if sizes else F.lit(0.0)
+    drawn = cut_lineage(usable.select("lang", "text", place.alias("place"), "doc_id").filter(F.col("place") < rate))
+    order = [F.length("text") > chars, "place", "doc_id", F.xxhash64("text")]
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= wanted)
+    # The first document of a language trains it; calibration takes its share of the others, evenly among them.
+    training = (F.col("rank") - 1) * calibration_docs % wanted < train_docs
+    through = F.sum(F.length("text")).over(Window.partitionBy("lang", "training").orderBy("rank"))
+    ranked = ranked.withColumn("training", (F.col("rank") == 1) | training).withColumn("through", through)
+    first = F.row_number().over(Window.partitionBy("lang", "training").orderBy("rank")) == 1
+    kept = cut_lineage(ranked.withColumn("first", first).filter(F.col("first") | (F.col("through") <= chars)).select("lang", "text", "training"))
+    release(drawn)
+    return kept, sorted(sizes)
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
+    """Models of the languages of docs (doc_id, text, lang), from a bounded sample of rows that aren't held out."""
+    sample, langs = sampled(docs, train_docs, calibration_docs)
+    if not langs:
         return Model({})
-    ranked = usable.select("doc_id", "text", "lang", place.alias("place")).filter(F.col("place") < F.element_at(rate, F.col("lang")))
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    sample = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,30 +262,28 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = C
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
 
-    share = calibration_docs / wanted
-    training = sample.filter(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1000)) >= 1000 * share)
-    table = training.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    table = sample.filter("training").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in zip(*(c.to_pylist() for c in table.toArrow().columns), strict=True):
         counts.setdefault(lang, {})[word] = n
     model = Model(counts)
     if model.langs:
-        _calibrate(model, sample.filter(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1000)) < 1000 * share))
+        _calibrate(model, sample.filter("NOT training"))
     return model
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """The temperature of highest likelihood, and each language's highest cross-entropy to be trusted."""
+    """The temperature of highest likelihood, and each language's cross-entropy that all but REJECTED of its documents keep below."""
     known = [(r["lang"], np.array(r["entropies"])) for r in entropies(rows.select("lang", "text"), model, "lang").collect() if r["entropies"] and r["lang"] in model.langs]
     if not known:
         return
     at = [model.langs.index(lang) for lang, _ in known]
     loss = lambda t: -sum(np.log(max(softmax(e, t)[i], 1e-12)) for i, (_, e) in zip(at, known, strict=True))
     model.temperature = min([2.0**x for x in range(0, 8)], key=loss)
-    for lang in model.langs:
-        own = [float(e.min()) for name, e in known if name == lang]
-        if own:
-            model.limits[lang] = float(np.mean(own) + 6 * max(np.std(own), 0.05))
+    own = {lang: [float(e[i]) for i, (name, e) in zip(at, known, strict=True) if name == lang] for lang in model.langs}
+    limit = lambda values: float(np.quantile(values, 1 - REJECTED))
+    whole = limit([x for values in own.values() for x in values])
+    model.limits = {lang: limit(values) if len(values) >= LEAST_CALIBRATED else whole for lang, values in own.items()}
 
 
 def entropies(rows: DataFrame, model: Model, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Language, rules, secrets, licenses and tokens against brute force and the libraries."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -132,40 +133,113 @@ def test_language_edge_cases(spark, languages, docs, rows, empty):
     assert {r["lang_pred"] for r in language_id.op1(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+class SlowKneserNey:
+    """Interpolated Kneser-Ney over dictionaries of strings, one language's words; alphabet: what may come next."""
+
+    def __init__(self, counted, alphabet, order=5):
+        self.order, self.alphabet = order, alphabet
+        raw = [Counter() for _ in range(order + 1)]
+        for word, n in counted.items():
+            marked = "\x01" + word + "\x02"
+            for end in range(1, len(marked)):
+                for k in range(1, min(order, end + 1) + 1):
+                    raw[k][marked[end - k + 1 : end + 1]] += n
+        self.count = [None]
+        for k in range(1, order + 1):
+            before = Counter(g[1:] for g in raw[k + 1]) if k < order else None
+            self.count.append({g: n if k == order or g[0] == "\x01" else before[g] for g, n in raw[k].items()})
+        self.off = [None]
+        for k in range(1, order + 1):
+            once, twice = (sum(n == i for n in self.count[k].values()) for i in (1, 2))
+            self.off.append(once / (once + 2 * twice) if once and twice else 0.5)
+
+    def chance(self, c, context):
+        context = context[-(self.order - 1) :]
+        if context == "\x01" and c == "\x01":
+            return 0.0
+        return self._chance(c, context, min(self.order, len(context) + 1))
+
+    def _chance(self, c, context, k):
+        if k == 0:
+            return 1 / (len(self.alphabet) + 1)
+        own = context[len(context) - (k - 1) :]
+        total = sum(n for g, n in self.count[k].items() if g[:-1] == own)
+        if not total:
+            return self._chance(c, context, k - 1)
+        types = sum(g[:-1] == own for g in self.count[k])
+        return max(self.count[k].get(own + c, 0) - self.off[k], 0) / total + self.off[k] * types / total * self._chance(c, context, k - 1)
+
+
+WORD_COUNTS = {"x": {"abab": 3, "ba": 2, "caab": 1, "aabbaabb": 1}, "y": {"cc": 4, "cab": 1, "bcbcb": 2}, "z": {"é": 1}}
+
+
+def test_models_match_a_slow_kneser_ney():
+    model = language_id.Model(WORD_COUNTS)
+    alphabet = set("abcé\x02")
+    slow = [SlowKneserNey(WORD_COUNTS[lang], alphabet) for lang in model.langs]
+    texts = ["abab", "ba", "c", "aaaaaa", "zzz", "abq", "éa", "bcbcbcab", "cab"]
+    for text, scores in zip(texts, model.score_words(texts), strict=True):
+        for one, score in zip(slow, scores, strict=True):
+            marked = "\x01" + text + "\x02"
+            want = sum(math.log2(one.chance(c, marked[:i])) for i, c in enumerate(marked) if i)
+            assert score == pytest.approx(want, abs=1e-4) and 2**score == pytest.approx(2**want, abs=1e-6)
+
+
 def test_chances_sum_to_one():
-    model = language_id.Model({"x": {"abab": 3, "ba": 2, "caab": 1}, "y": {"cc": 4}})
-    letters = ["a", "b", "c", "\x02"]
-    for start in ("", "a", "ab", "aba", "cabx"):
-        total = {lang: 0.0 for lang in model.langs}
-        for nxt in letters:
-            grown = model.score_words([start])[0] if nxt == "\x02" else model.score_words([start + nxt])[0]
-            # score_words ends each word: take the end's chance off again.
-            base = prefix_score(model, start)
-            own = grown - base if nxt == "\x02" else prefix_score(model, start + nxt) - base
-            for i, lang in enumerate(model.langs):
-                total[lang] += 2.0 ** own[i]
-        assert all(0.5 < t <= 1.0001 for t in total.values())
-
-
-def prefix_score(model, text):
-    """The log2 chance of a word's beginning: its whole score but for the end mark's."""
-    import numpy as np
+    """Over words w: the chance of all words that begin with s is that of s, and of what may come next they are all chances."""
+    model = language_id.Model(WORD_COUNTS)
+    slow = {lang: SlowKneserNey(WORD_COUNTS[lang], set("abcé\x02")) for lang in model.langs}
+    for start in ("", "a", "ab", "aba", "cabé", "q", "cc"):
+        for i, lang in enumerate(model.langs):
+            # score_words ends each word: the chance of a letter after start is that of start + letter by that of start, without their ends.
+            begun = lambda s: 2 ** float(model.score_words([s])[0][i]) / slow[lang].chance("\x02", "\x01" + s)  # noqa: B023, E731
+            ended = 2 ** float(model.score_words([start])[0][i]) / begun(start)
+            assert ended + sum(begun(start + c) / begun(start) for c in "abcé?") == pytest.approx(1, abs=1e-5)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(4)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 0][:40]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = {f"l{n:02d}": " ".join("".join(r.choice(letters[n % 20 : n % 20 + 6]) for _ in range(5)) for _ in range(40)) for n in range(40)}
+    rows = [(i, texts[lang], lang) for i, lang in zip(ids, sorted(texts), strict=True)]
+    table = spark.createDataFrame([*rows, (5, "words that are alike", None), (401, "abc", "l00")], "doc_id long, text string, lang string")
+    model = language_id.fit(table)
+    assert model.langs == sorted(texts) and model.limits == {}
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.op1(table).collect()}
+    assert set(got.values()) <= set(texts) and sum(got[i] == lang for i, _, lang in rows) >= 38
+    one = spark.createDataFrame([(5, "only this one", "xx")], "doc_id long, text string, lang string")
+    assert [x["lang_pred"] for x in language_id.op1(one).collect()] == ["xx" if zlib.crc32(b"5") % 5 else "und"]
+    monkeypatch.setattr(language_id, "SCORES_HELD", 200)
+    monkeypatch.setattr(language_id, "SCORES_AT_ONCE", 100)
+    assert {x["doc_id"]: x["lang_pred"] for x in language_id.op1(table).collect()} == got
+
+
+def test_samples_are_bounded_and_repeatable(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_CHARS", 1000)
+    r = random.Random(8)
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 != 0]
+    rows = [(i, prose(r, "en", r.randint(3, 30)), "en") for i in ids[:600]] + [(ids[600], prose(r, "de", 2000), "de"), (ids[601], "12 34", "fr"), (ids[602], None, "es")]
+    rows += [(ids[0], f"the same id, text {i}", "en") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [tuple(x) for x in language_id.sampled(table, 30, 10)[0].collect()]
+    chars = lambda lang, training: sum(len(t) for x, t, own in kept if x == lang and own == training)
+    assert chars("en", True) <= 1000 and chars("en", False) <= 1000 and {x for x, _, _ in kept} == {"en", "de"}
+    assert [own for x, _, own in kept if x == "de"] == [True]
+    again = [tuple(x) for x in language_id.sampled(table.repartition(5), 30, 10)[0].collect()]
+    assert sorted(kept) == sorted(again)
+
+
+def test_a_stated_part_of_a_languages_documents_is_rejected(languages):
+    model = language_id.fit(languages)
+    got = language_id.predict(languages.select("doc_id", "text"), model).collect()
+    assert sum(x["rejected"] for x in got) <= 0.05 * len(got)
 
-    codes, place, word = language_id._codes([text])
-    h = language_id._hashes(codes, model.order)
-    out = np.zeros(len(model.langs))
-    for at in range(1, len(codes) - 1):
-        for k in range(min(model.order, at + 1), 0, -1):
-            found, i = language_id._find(model.keys[k], h[k][at : at + 1])
-            if found[0]:
-                out += model.logs[k][i[0]]
-                break
-            known, j = language_id._find(model.context_keys[k], h[k - 1][at - 1 : at] if k > 1 else np.zeros(1, np.uint64))
-            if known[0]:
-                out += model.context_logs[k][j[0]]
-        else:
-            out += model.floor
-    return out
+
+def test_equal_entropies_go_to_the_first_language(spark):
+    model = language_id.Model({lang: {"abc": 3, "abd": 1} for lang in ("b", "a", "c")})
+    got = language_id.predict(spark.createDataFrame([(1, "abc abx"), (2, "q"), (3, "7")], "doc_id long, text string"), model).collect()
+    assert [x["lang_pred"] for x in got] == ["a", "a", "und"] and [x["score"] for x in got] == pytest.approx([1 / 3, 1 / 3, 0])
 
 
 # --- secrets
