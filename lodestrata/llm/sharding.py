@@ -1,17 +1,20 @@
 """Sharding by longest-processing-time scheduling: the law is `bytes`, shards of nearly equal size.
 
 Equal texts form a group that stays together. Groups go by falling size to the least loaded of the
-shards, which a heap holds. The heap sees a bounded number of items: each group of at least 1/ITEMS of
-all bytes is an item (ITEMS of them at most); the smaller groups are dealt by the hash of their text into
-ITEMS bins, and a bin is an item. A bin holds about 1/ITEMS of the bytes or less than two such shares, so
-loads end up within about two bins of each other unless one group is larger than a shard's share.
+shards, which a heap holds. Groups of equal size are interchangeable, so that the schedule needs only how many
+groups there are of each size: a histogram, of at most sqrt(2 * bytes) rows whatever the number of groups (sizes that
+differ add up). The groups of a size are dealt through the heap one by one, or, if there are more of them than
+shards, by the closed form of the same greedy choice. Each shard then takes as many groups of a size as it was
+dealt, in the order of their hashes.
 
-Slots are numbered without gathering a shard in one task: rows of a shard are dealt into parts by the
-hash of their key, counted, and numbered within their part from where the part before it ends.
+Groups are numbered within their size, and rows within their shard, without gathering either in one task: parts
+are numbered by themselves, from where the part before ends. A part of rows is what one task holds of a shard, so that
+any number of equal rows is spread over tasks; rows of frequent texts get their shard by broadcast, see common.by_key().
 
 Defined results: a null text has no bytes (size 16, crc 0) and is a group of its own, distinct from the
-empty text; ties go to the smaller item, then to the smaller shard; repeated rows are members of the same
-group with slots of their own; an empty table gives no rows.
+empty text; ties go to the smaller hash and to the smaller shard; repeated rows are members of the same
+group with slots of their own; texts of any length are one member each, and a group larger than a shard's share
+makes its shard as large as it is; columns of other names take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,23 +25,50 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import by_key
 from lodestrata.session import cut_lineage
 
 SHARDS = 40
 OVERHEAD = 16
-ITEMS = 16384
-#: Rows that one task numbers, on average.
-PART_ROWS = 4096
-
-
-def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """item -> shard for (item, size): by falling size, each to the least loaded shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for item, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[item] = shard
-        heapq.heappush(heap, (load + size, shard))
+#: Groups that one task numbers, on average.
+PART_GROUPS = 65_536
+#: Most rows of the schedule that are broadcast; more of them are joined by size.
+BROADCAST_ROWS = 1_000_000
+
+
+def dealt(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n items of one size each shard gets, each item going to the least loaded shard, ties to the smaller."""
+    if n <= len(loads):
+        heap, out = [(load, s) for s, load in enumerate(loads)], [0] * len(loads)
+        heapq.heapify(heap)
+        for _ in range(n):
+            load, s = heap[0]
+            out[s] += 1
+            heapq.heapreplace(heap, (load + size, s))
+        return out
+    # Shard s can take items while it stands at load, load + size, ...: those of the n least such places are taken.
+    below = lambda level: [max(0, -((load - level) // size)) for load in loads]
+    low, high = min(loads), max(loads) + size * (n // len(loads) + 1)
+    while low < high:  # the highest level that at most n places are below
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(below(middle)) <= n else (low, middle - 1)
+    out = below(low)
+    left = n - sum(out)
+    for s, load in enumerate(loads):
+        if left and load + out[s] * size == low:
+            out[s], left = out[s] + 1, left - 1
+    return out
+
+
+def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """(size, shard, first, number): the groups of a size that each shard gets, counted from 0; histogram: (size, groups)."""
+    loads, out = [0] * shards, []
+    for size, n in sorted(histogram, reverse=True):
+        first = 0
+        for s, k in enumerate(dealt(loads, size, n)):
+            if k:
+                out.append((size, s, first, k))
+                loads[s], first = loads[s] + k * size, first + k
     return out
 
 
@@ -46,41 +76,39 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
 
 
+def numbered(rows: DataFrame, by: str, part: Column, order: list[str], into: str) -> DataFrame:
+    """rows with `into`: their number within `by`, from 0, by part and then by order. A task holds one part of one `by`."""
+    parted = rows.withColumn("_part", part)
+    counted = parted.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(by, "_part").orderBy(*order)
+    return parted.withColumn("_at", F.row_number().over(within) - 1).join(starts, [by, "_part"]).withColumn(into, F.col("_start") + F.col("_at")).drop("_part", "_start", "_at")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard for each row."""
     rows = docs.select(
         F.col(key),
         _size(F.col(text)).alias("size"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("h"),
+        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(text))).alias("h"),
     )
     rows = cut_lineage(rows)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"))
-    large = F.col("bytes") * ITEMS >= F.lit(total)
-    # Items are the large groups (below 0: their rank) and the bins (from 0), ITEMS of each kind at most.
-    bin_of = F.pmod(F.xxhash64("h"), F.lit(ITEMS)).cast("int")
-    big = sorted((-r["bytes"], r["h"]) for r in groups.filter(large).collect())
-    bins = groups.filter(~large).groupBy(bin_of.alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()
-    to = schedule([(-1 - n, -b) for n, (b, _) in enumerate(big)] + [(r["bin"], r["bytes"]) for r in bins], shards)
-    spark = docs.sparkSession
-    big_to = spark.createDataFrame([(h, to[-1 - n]) for n, (_, h) in enumerate(big)], "h long, big_shard int")
-    bin_to = spark.createDataFrame([(r["bin"], to[r["bin"]]) for r in bins], "bin int, bin_shard int")
-    placed = rows.join(F.broadcast(big_to), "h", "left").withColumn("bin", bin_of).join(F.broadcast(bin_to), "bin", "left")
-    return placed.select(key, "size", "text_crc32", F.coalesce("big_shard", "bin_shard").alias("shard"))
-
-
-def slots(placed: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
-    """The rows with slot: gapless from 0 within each shard."""
-    n = placed.count()
-    parts = max(1, math.ceil(n / shards / PART_ROWS), min(16, math.ceil(n / shards / 64)))
-    rows = placed.withColumn("part", F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(parts)).cast("int"))
-    counted = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "part").orderBy(F.col(key), "text_crc32", "size")
-    numbered = rows.withColumn("at", F.row_number().over(within) - 1)
-    return numbered.join(starts, ["shard", "part"]).withColumn("slot", F.col("start") + F.col("at")).drop("part", "start", "at")
+    groups = cut_lineage(rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    histogram = [(r["bytes"], r["k"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("k")).collect()]
+    planned = schedule(histogram, shards)
+    table = docs.sparkSession.createDataFrame(planned, "bytes long, shard int, first long, k long")
+    parts = max(1, math.ceil(sum(k for _, k in histogram) / PART_GROUPS))
+    placed = numbered(groups, "bytes", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"), ["h"], "_rank")
+    table = F.broadcast(table) if len(planned) <= BROADCAST_ROWS else table
+    placed = placed.join(table, "bytes").filter((F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("first") + F.col("k")))
+    return by_key(rows, cut_lineage(placed.select("h", "shard", "n")), "h", "n").select(key, "size", "text_crc32", "shard")
+
+
+def slots(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with slot: gapless from 0 within each shard. placed is what cut_lineage() gave, whose parts don't change."""
+    return numbered(placed, "shard", F.spark_partition_id(), [key, "text_crc32", "size"], "slot")
 
 
 def op4(docs: DataFrame) -> DataFrame:

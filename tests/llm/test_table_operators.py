@@ -117,8 +117,26 @@ def test_repeated_rows_of_the_mix(docs, rows):
 # --- sharding
 
 
+def greedy(sizes, shards):
+    """(size, shard) of each item, the longest first, each to the least loaded shard."""
+    loads, out = [0] * shards, Counter()
+    for size in sorted(sizes, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += size
+        out[size, s] += 1
+    return out
+
+
 def test_schedule_is_longest_first():
-    assert sharding.schedule([(0, 5), (1, 9), (2, 5), (3, 1)], 2) == {1: 0, 0: 1, 2: 1, 3: 0}
+    r = random.Random(2)
+    for shards in (1, 2, 7, 40):
+        for _ in range(60):
+            sizes = [r.choice([1, 3, 16, 17, 40, r.randint(1, 1000), 50_000]) for _ in range(r.randint(0, 400))]
+            got = sharding.schedule(list(Counter(sizes).items()), shards)
+            assert {(size, s): k for size, s, _, k in got} == greedy(sizes, shards)
+            for size, n in Counter(sizes).items():
+                ranks = sorted((first, k) for x, _, first, k in got if x == size)
+                assert [f for f, _ in ranks] == [sum(k for _, k in ranks[:i]) for i in range(len(ranks))] and sum(k for _, k in ranks) == n
 
 
 def test_shards(docs, rows, empty):
@@ -137,14 +155,31 @@ def test_shards(docs, rows, empty):
     assert sharding.op4(empty).count() == 0
 
 
-def test_shards_are_as_even_as_scheduling_makes_them(spark):
+@pytest.mark.parametrize("part", [65_536, 50])
+def test_shards_are_those_of_scheduling_the_groups(spark, monkeypatch, part):
+    monkeypatch.setattr(sharding, "PART_GROUPS", part)
     r = random.Random(3)
-    texts = ["t" * r.randint(1, 400) + str(i) for i in range(3000)] + ["copy " * 30] * 60
+    texts = ["t" * r.randint(1, 40) + str(i) for i in range(3000)] + ["copy " * 30] * 60 + ["giant " * 3000] * 20 + [None] * 7 + [""] * 3
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    load = Counter()
-    for row in sharding.assign(table).collect():
-        load[row["shard"]] += row["size"]
-    assert max(load.values()) - min(load.values()) <= 1000 and len(load) == 40
+    got = sharding.assign(table).collect()
+    groups, own = Counter(), {}
+    for row in got:
+        text = texts[row["doc_id"]]
+        assert own.setdefault(text, row["shard"]) == row["shard"]
+        groups[text] += len((text or "").encode()) + 16
+    assert Counter((n, own[text]) for text, n in groups.items()) == greedy(groups.values(), 40)
+
+
+def test_equal_rows_are_spread_over_tasks(spark):
+    """A million rows of one id and text: one group, numbered in parts; the joins of the rows are by broadcast."""
+    rows = spark.range(1_000_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text")).union(spark.range(100).select("id", F.col("id").cast("string")))
+    placed = sharding.op4(rows)
+    found = placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    assert all((x["d"], x["low"], x["high"]) == (x["n"], 0, x["n"] - 1) for x in found)
+    assert max(x["n"] for x in found) == 1_000_000 and sum(x["n"] for x in found) == 1_000_100
+    parts = rows.repartition(8).select("doc_id", F.lit(9).alias("size"), F.lit(9).alias("text_crc32"), F.lit(0).alias("shard"))
+    most = sharding.slots(simhash.cut_lineage(parts)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 1_000_100
 
 
 # --- near-duplicates
