@@ -4,15 +4,18 @@ A source's target is a share of the total by weight, capped at a multiple of its
 documents is wanted target/size times: so many whole copies, and a fraction that is rounded to 0 or 1.
 Rounding takes two fractional documents at a time and moves words from one to the other, at random in
 one of the two directions with the chances that keep both expectations, until one is integral. The words
-of the pair never change in sum, so a source misses its target by less than one document, the last one, which is
-rounded to the nearer side; what that is off by is made up from the documents it met last.
-
-Documents are dealt by hash into blocks; each block is rounded in one task and leaves one fractional
-document at most. These residuals are combined in the same way, FAN blocks at a time, in a tree.
-
-Chances come from hashes of the documents' ids and texts, so that reruns agree. Defined results: a null text and
-a blank one have no words and are never taken; null is a source of its own, the last one; repeated rows
-are documents of their own; an empty table gives no rows.
+of the pair never change in sum. The last document of a source that is still fractional is rounded by its own chance, so that
+every document is taken as often as it is wanted on average, and a source misses its target by less than that one document;
+as documents meet in the order of their lengths, the longest first, the last one is short as a rule.
+
+Rows that are alike are one document with a number: m of them are wanted m times as often, so many whole copies and
+one fraction, and are given their copies evenly. Documents are dealt by hash into blocks; each block is rounded in one task and
+leaves one fractional document at most. These residuals are combined in the same way, FAN blocks at a time, in a tree.
+
+Chances come from hashes of the documents' ids, sources and texts, so that reruns agree. Defined results: a null text and
+a blank one have no words and are never taken; null is a source of its own, the last one; repeated rows are documents
+with copies of their own, evenly given; documents of one length meet in the order of their hashes; texts are counted whole, at
+any length; columns of other names take no part and pass through repeated(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import word_count
@@ -37,19 +40,19 @@ EPS = 1e-9
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
-    """The targets of sources in order: shares of `share` times the total by weight, capped, the excess dealt anew by weight."""
-    caps, left = [most * s for s in sizes], share * sum(sizes)
-    out, free = [0.0] * len(sizes), list(range(len(sizes)))
-    while free:
-        unit = left / sum(weights[i % len(weights)] for i in free)
-        over = [i for i in free if unit * weights[i % len(weights)] > caps[i]]
-        if not over:
-            for i in free:
-                out[i] = unit * weights[i % len(weights)]
+    """The targets of sources in order: shares of `share` times the total by weight, capped, the excess dealt anew by weight.
+
+    Sources reach their caps in the order of cap to weight, so that one pass in this order finds those that do."""
+    weight = [weights[i % len(weights)] for i in range(len(sizes))]
+    caps, left, free = [most * s for s in sizes], share * sum(sizes), sum(weight)
+    out = [0.0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: caps[i] / weight[i])
+    for n, i in enumerate(order):
+        if caps[i] * free >= left * weight[i]:  # neither this one nor any later reaches its cap
+            for j in order[n:]:
+                out[j] = left * weight[j] / free
             break
-        for i in over:
-            out[i], left = caps[i], left - caps[i]
-            free.remove(i)
+        out[i], left, free = caps[i], left - caps[i], free - weight[i]
     return out
 
 
@@ -86,27 +89,19 @@ def pivotal(sizes: np.ndarray, chances: np.ndarray, ids: np.ndarray, salt: int)
     return x, held
 
 
-def settled_last(sizes: np.ndarray, chances: np.ndarray, x: np.ndarray, held: int) -> np.ndarray:
-    """The source's last residual goes to the nearer side; the words it is then off by are made up by flipping
-    those of the documents it met that come nearest, the longest first."""
-    x = x.copy()
-    off = sizes[held] * (round(x[held]) - x[held])
-    x[held] = round(x[held])
-    for i in range(len(x)):
-        change = sizes[i] * (1 - 2 * x[i])
-        if i != held and EPS < chances[i] < 1 - EPS and abs(off + change) < abs(off):
-            x[i], off = 1 - x[i], off + change
-    return x
+def settled(chance: float, key: int, salt: int) -> float:
+    """The last fractional document of a source, rounded by its chance."""
+    return 1.0 if _uniform(key, ~int(key), salt + 7919) < chance else 0.0
 
 
 def _rounded(salt: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         # Long documents first: what is left fractional in the end is then a short one as a rule.
         group = group.sort_values(["size", "h"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        sizes, chances = group["size"].to_numpy(), group["x"].to_numpy()
-        x, held = pivotal(sizes, chances, group["h"].to_numpy(), salt)
+        ids = group["h"].to_numpy()
+        x, held = pivotal(group["size"].to_numpy(), group["x"].to_numpy(), ids, salt)
         if held >= 0 and group["blocks"].iloc[0] <= FAN**salt:
-            x, held = settled_last(sizes, chances, x, held), -1
+            x[held], held = settled(x[held], ids[held], salt), -1
         group["x"] = x
         group["loose"] = np.arange(len(group)) == held
         return group
@@ -116,7 +111,7 @@ def _rounded(salt: int):
 
 def source_table(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     """source, source_size, target, ratio, blocks: one row per source; the sources are a catalogue, held by the driver."""
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    rows = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("size"), F.count("*").alias("n")).collect()
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["size"] for r in rows])
     data = [(r["source"], r["size"], t, t / r["size"] if r["size"] else 0.0, math.ceil(r["n"] / BLOCK_ROWS)) for r, t in zip(rows, goal, strict=True)]
@@ -124,23 +119,28 @@ def source_table(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     return F.broadcast(table) if len(data) <= BROADCAST_SOURCES else table
 
 
-def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, source, size, source_size, target, copies for each row of docs (text, source)."""
+def mix(docs: DataFrame, key: str = "doc_id", identity: Column | None = None) -> DataFrame:
+    """key, source, size, source_size, target, m, copies, h: a row for each kind of row of docs (text, source), with the number m
+    of rows of the kind and the copies of all of them together. Rows of one identity (a long; a hash of key, source and
+    text by default), are of one kind."""
     spark = docs.sparkSession
-    sized = cut_lineage(docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64(key, "text").alias("h")))
+    identity = F.xxhash64(key, "source", "text") if identity is None else identity
+    each = docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), identity.alias("h"))
+    sized = cut_lineage(each.groupBy(key, "source", "size", "h").agg(F.count("*").alias("m")))
     sources = source_table(spark, sized)
     named = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    wanted = F.col("ratio") * F.col("m")
     rows = named.select(
-        F.col(key), "source", "size", "source_size", "target", "h",
-        F.floor("ratio").cast("int").alias("whole"),
-        (F.col("ratio") - F.floor("ratio")).alias("x"),
+        F.col(key), "source", "size", "source_size", "target", "h", "m",
+        F.floor(wanted).cast("long").alias("whole"),
+        (wanted - F.floor(wanted)).alias("x"),
         "blocks",
         F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"),
     )
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, source string, size long, source_size long, target double, h long, whole int, x double, blocks int, block int, loose boolean"
+    schema = f"`{key}` {kind}, source string, size long, source_size long, target double, h long, m long, whole long, x double, blocks int, block int, loose boolean"
     level = cut_lineage(rows.groupBy("source", "block").applyInPandas(_rounded(0), schema))
-    settled = level.filter(~F.col("loose"))
+    done = level.filter(~F.col("loose"))
     loose = level.filter("loose")
     # The tree: each round joins FAN blocks of a source, and settles all but one residual of them.
     blocks = sources.agg(F.max("blocks")).first()[0] or 0
@@ -149,25 +149,25 @@ def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         blocks, salt = math.ceil(blocks / FAN), salt + 1
         joined = loose.drop("loose").withColumn("block", F.floor(F.col("block") / FAN).cast("int"))
         level = cut_lineage(joined.groupBy("source", "block").applyInPandas(_rounded(salt), schema))
-        settled = settled.union(level.filter(~F.col("loose")))
+        done = done.union(level.filter(~F.col("loose")))
         loose = level.filter("loose")
-    return settled.select(key, "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("int")).alias("copies"), "h")
+    return done.select(key, "source", "size", "source_size", "target", "m", (F.col("whole") + F.col("x").cast("long")).alias("copies"), "h")
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    """The copies of rows that are alike are given to them evenly, one more to the first."""
+    kinds = mix(docs).withColumn("_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    copies = F.floor(F.col("copies") / F.col("m")) + F.when(F.col("_n") < F.col("copies") % F.col("m"), 1).otherwise(0)
+    return kinds.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns it came with."""
+    """The mix itself: each row of docs as often as it is taken, with the columns it came with.
+
+    Rows that are alike in all columns are one kind, which is reduced to a row within each task before it is dealt out."""
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", F.xxhash64("doc_id", "text").alias("_h"))
-    taken = mix(docs).groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    # Rows alike in id and text (and so in size) share their copies: the first ones get what doesn't divide.
-    among = F.row_number().over(Window.partitionBy("_h").orderBy("_h"))
-    joined = rows.join(taken.withColumnRenamed("h", "_h"), "_h").filter("copies > 0").withColumn("_n", among)
-    share = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("_n") <= F.col("copies") % F.col("n"), 1).otherwise(0)
-    each = joined.withColumn("copies", share).filter("copies > 0")
-    out = each.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(row.alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_h")).dropDuplicates(["_h"])
+    taken = mix(docs, identity=F.xxhash64(*[F.col(f"`{c}`") for c in names])).filter("copies > 0").select(F.col("h").alias("_h"), "copies")
+    out = rows.join(taken, "_h").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(*[F.col("_row").getField(c).alias(c) for c in names])
-
