@@ -1,32 +1,43 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
-A text is reduced to its words (ASCII letters and digits, in lower case). Windows of 8 to 128 words overlap
+A text is reduced to its words (ASCII letters and digits, in lower case). Windows of 8, 16, 32 ... words overlap
 by three quarters, so that a passage as long as a template lies whole in some window of the template's
-class, which is at most about twice as long. Such a window and its template share at least a third of
+class, which is at most about 2.7 times as long. Such a window and its template share at least a quarter of
 their five-word shingles, even at the least containment, and each of BANDS one-row bands then agrees with
-that chance: all of them miss with a chance below 1e-5. Windows that agree in a band are verified by the
-exact share of the template's shingles that they contain.
-
-Only windows that can match are hashed: a template that is contained to THRESHOLD has one of its anchor
-words in the window, words whose absence alone would spoil too many shingles.
-
-Built-in expressions only; the only join is with the bands of the templates, a table of fixed size.
-Defined results: texts without a match (null and blank ones too) have no row; a license found in several
-windows, or in repeated rows of one doc_id, has one row with the highest containment; rows of null doc_id
-count as one document. Very long texts are scanned whole.
+that chance: all of them miss with a chance below 0.75 ** 64, about 1e-8. Windows that agree in a band are verified once,
+by the exact share of the template's shingles that they contain.
+
+Only windows that can match are hashed, by conditions that no text with a match fails. Short templates: one of the
+template's anchors is in the window, words whose absence alone would spoil too many shingles. Templates with more than MOST_ANCHORS of
+these: the text is as long as the shingles needed are, and the text and the window have as many of the template's
+longer words as the shingles needed must hold.
+
+Built-in expressions only; the joins are with the bands and the shingles of the templates, which are broadcast up to
+a stated number of them. Defined results: texts without a match (null and blank ones too) have no row; a license found in
+several windows, or in repeated rows of one doc_id, has one row with the highest containment; rows of null doc_id
+count as one document; licenses that hold one another are each reported. Very long texts are scanned whole, a window at a time. A template
+of any length may be given; one of fewer than five words is an error. Columns of other names take no part; an empty table, or no
+templates, gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS = 32
-WINDOWS = (8, 16, 32, 64, 128)
+BANDS = 64
+LEAST_WINDOW = 8
+#: Most anchors of a template that windows are chosen by, and the shortest words that count for the others.
+MOST_ANCHORS, LONG_WORD = 24, 6
+#: Most bands, and most shingles, of templates that are broadcast; more of them are joined by key.
+BROADCAST_BANDS, BROADCAST_SHINGLES = 500_000, 2_000_000
 
 TEMPLATES: dict[str, str] = {
     "MIT-short": "Released under the MIT License.",
@@ -44,7 +55,7 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0-short": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0-short": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+} | {f"{path.stem}-text": path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def words(text: str) -> list[str]:
@@ -57,25 +68,65 @@ def shingles(text: str) -> list[str]:
 
 
 def window_of(template: str) -> int:
-    n = len(words(template))
-    return next(w for w in WINDOWS if n <= w - w // 4 + 1)
+    """The width of the windows that a template is looked for in."""
+    n, width = len(words(template)), LEAST_WINDOW
+    while n > width - width // 4 + 1:
+        width *= 2
+    return width
+
 
+def spare(template: str) -> int:
+    """How many of its shingles a text may lack."""
+    n = len(shingles(template))
+    return n - math.ceil(THRESHOLD * n)
 
-def anchors(template: str) -> set[str]:
+
+@lru_cache(maxsize=1024)
+def anchors(template: str) -> frozenset[str]:
     """Words of which a text that contains the template to the threshold has one at least: without all of
     them, fewer shingles than needed are left. The longest words first."""
-    left, out = shingles(template), set()
-    spare = len(left) - math.ceil(THRESHOLD * len(left))
-    gone = 0
+    left, out, gone = shingles(template), set(), 0
     for w in sorted(set(words(template)), key=lambda w: (-len(w), w)):
-        if gone > spare:
+        if gone > spare(template):
             break
         hit = [s for s in left if w in s.split(" ")]
         if hit:
             out.add(w)
             gone += len(hit)
             left = [s for s in left if s not in hit]
-    return out
+    return frozenset(out)
+
+
+@lru_cache(maxsize=1024)
+def long_words(template: str) -> tuple[tuple[str, ...], int]:
+    """The template's longer words, and how many of them a text that contains it to the threshold has at least.
+
+    A shingle's loss is shared among its longer words, so that words that are missing lose as many shingles as their
+    shares add up to, at least; what is there must make up for all but the shingles to spare."""
+    share: Counter = Counter()
+    for s in shingles(template):
+        own = {w for w in s.split(" ") if len(w) >= LONG_WORD}
+        for w in own:
+            share[w] += 1 / len(own)
+    need, n = sum(share.values()) - spare(template) - 1e-6, 0
+    for _, x in share.most_common():
+        if need <= 0:
+            break
+        need, n = need - x, n + 1
+    return tuple(sorted(share)), n
+
+
+def least_chars(template: str) -> int:
+    """The fewest letters and digits of a text that contains the template to the threshold: a character is in SHINGLE shingles at most."""
+    sizes = sorted(len(s) - SHINGLE + 1 for s in shingles(template))
+    return sum(sizes[: len(sizes) - spare(template)]) // SHINGLE
+
+
+def checked(templates: dict[str, str]) -> dict[str, str]:
+    for name, t in templates.items():
+        if len(words(t)) < SHINGLE:
+            raise ValueError(f"template {name} has fewer than {SHINGLE} words")
+    return templates
 
 
 def _minhashes(hashes: Column) -> Column:
@@ -94,36 +145,80 @@ def _word_array(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(plain), " "))
 
 
-def template_bands(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, width, n, shingles, band, value: BANDS rows a template."""
+def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """license, width, template (its shingles)."""
     rows = [(name, window_of(t), shingles(t)) for name, t in templates.items()]
-    table = spark.createDataFrame(rows, "license string, width int, template array<string>")
-    bands = _minhashes(F.transform(F.col("template"), lambda s: F.xxhash64(s)))
-    return table.select("license", "width", "template", F.posexplode(bands).alias("band", "value"))
+    return spark.createDataFrame(rows, "license string, width int, template array<string>")
+
+
+def template_bands(table: DataFrame) -> DataFrame:
+    """license, width, bands (all of a template's), band, value: BANDS rows a template."""
+    made = table.select("license", "width", _minhashes(F.transform(F.col("template"), lambda s: F.xxhash64(s))).alias("bands"))
+    return made.select("license", "width", "bands", F.posexplode("bands").alias("band", "value"))
+
+
+def _words_in(values: tuple[str, ...] | frozenset[str]) -> Column:
+    return F.array(*map(F.lit, sorted(values)))
+
+
+def _near_anchors(width: int, found: frozenset[str]) -> Column:
+    """The starts of the windows with one of the anchors in them."""
+    step, seeds = width // 4, _words_in(found)
+    at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.array_contains(seeds, F.get(F.col("ws"), i)))
+    around = F.transform(at, lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - (width - 1)) / step).cast("int")), F.floor(p / step).cast("int")))
+    return F.transform(F.array_distinct(F.flatten(around)), lambda k: k * step)
+
+
+def _with_width(width: int, starts: Column) -> Column:
+    return F.transform(starts, lambda s: F.struct(F.lit(width).alias("width"), s.alias("start")))
+
+
+def _has_long_words(ws: Column, templates: list[str]) -> Column:
+    return reduce(Column.__or__, [F.size(F.array_intersect(ws, _words_in(long_words(t)[0]))) >= long_words(t)[1] for t in templates])
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, license, containment, n_windows: the templates that windows of each text contain."""
-    templates = TEMPLATES if templates is None else templates
+    templates = checked(TEMPLATES if templates is None else templates)
     spark = docs.sparkSession
-    seeds = sorted(set().union(*(anchors(t) for t in templates.values())))
-    possible = F.col(text).rlike(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(seeds) + r")(?![A-Za-z0-9])")
-    rows = docs.select(F.col(key), F.col(text)).filter(possible).select(key, F.inline(F.array(F.struct(_word_array(F.col(text)).alias("ws")))))
-    by_width = {w: sorted(set().union(*(anchors(t) for t in templates.values() if window_of(t) == w))) for w in WINDOWS}
-
-    def windows(width: int) -> Column:
-        step = width // 4
-        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - 1, F.lit(0)), F.lit(step)), lambda s: F.struct(F.lit(width).alias("width"), s.alias("start"), F.slice(F.col("ws"), s + 1, width).alias("w")))
-        return F.filter(cut, lambda x: F.arrays_overlap(x["w"], F.array(*map(F.lit, by_width[width]))))
-
-    used = [w for w in WINDOWS if by_width[w]]
-    cut = rows.select(key, F.explode(F.concat(*[windows(w) for w in used])).alias("x")).select(key, "x.width", "x.start", F.inline(F.array(F.struct(_shingle_texts(F.col("x.w")).alias("found")))))
-    cut = cut.filter(F.size("found") > 0)
-    banded = cut.select(key, "width", "start", "found", F.posexplode(_minhashes(F.transform(F.col("found"), lambda s: F.xxhash64(s)))).alias("band", "value"))
-    met = banded.join(F.broadcast(template_bands(spark, templates)), ["width", "band", "value"])
+    table = template_table(spark, templates)
+    anchored = [t for t in templates.values() if len(anchors(t)) <= MOST_ANCHORS]
+    counted = [t for t in templates.values() if len(anchors(t)) > MOST_ANCHORS]
+    seeds = sorted(frozenset().union(*map(anchors, anchored)))
+    possible = F.lit(False)
+    if counted:
+        possible = possible | (F.length(F.col(text)) >= min(map(least_chars, counted)))
+    if anchored:
+        possible = possible | F.col(text).rlike(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(seeds) + r")(?![A-Za-z0-9])")
+    rows = docs.select(F.col(key), F.col(text)).filter(possible).select(key, F.inline(F.array(F.struct(_word_array(F.col(text)).alias("ws"))))).filter(F.size("ws") >= SHINGLE)
+
+    starts = []
+    by_width = lambda of: {w: [t for t in of if window_of(t) == w] for w in sorted(set(map(window_of, of)))}
+    for width, of in by_width(anchored).items():
+        starts.append((width, _near_anchors(width, frozenset().union(*map(anchors, of)))))
+    gates = {width: of for width, of in by_width(counted).items()}
+    for width, of in gates.items():
+        every = F.sequence(F.lit(0), F.size("ws") - 1, F.lit(width // 4))
+        starts.append((width, F.when(_has_long_words(F.col("ws"), of), every).otherwise(F.array().cast("array<int>"))))
+    if not starts:
+        return docs.select(key, F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows")).limit(0)
+    cut = F.array_distinct(F.concat(*[_with_width(width, s) for width, s in starts]))
+    windows = rows.select(key, "ws", F.inline(cut)).select(key, "width", "start", F.inline(F.array(F.struct(F.slice(F.col("ws"), F.col("start") + 1, F.col("width")).alias("w")))))
+    anchored_widths = set(by_width(anchored))
+    for width, of in gates.items():
+        if width not in anchored_widths:
+            windows = windows.filter((F.col("width") != width) | _has_long_words(F.col("w"), of))
+    hashed = windows.select(key, "width", "start", F.inline(F.array(F.struct(_shingle_texts(F.col("w")).alias("found"))))).filter(F.size("found") > 0)
+    banded = hashed.select(key, "width", "start", "found", F.inline(F.array(F.struct(_minhashes(F.transform(F.col("found"), lambda s: F.xxhash64(s))).alias("mins")))))
+    each = banded.select(key, "width", "start", "found", "mins", F.posexplode("mins").alias("band", "value"))
+    bands, held = template_bands(table), table.select("license", "template")
+    bands = F.broadcast(bands) if len(templates) * BANDS <= BROADCAST_BANDS else bands
+    held = F.broadcast(held) if sum(len(shingles(t)) for t in templates.values()) <= BROADCAST_SHINGLES else held
+    # Of the bands in which a window and a template agree, the first has it verified.
+    met = each.join(bands, ["width", "band", "value"]).filter(F.array_position(F.zip_with("mins", "bands", lambda x, y: x == y), True) == F.col("band") + 1)
     share = F.size(F.array_intersect("found", "template")) / F.size("template")
-    held = met.select(key, "license", "start", share.alias("containment")).filter(F.col("containment") >= THRESHOLD)
-    once = held.groupBy(key, "license", "start").agg(F.max("containment").alias("containment"))
+    verified = met.select(key, "license", "start", "found").join(held, "license").select(key, "license", "start", share.alias("containment")).filter(F.col("containment") >= THRESHOLD)
+    once = verified.groupBy(key, "license", "start").agg(F.max("containment").alias("containment"))
     return once.groupBy(key, "license").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"))
 
 
@@ -132,16 +227,16 @@ def op9(docs: DataFrame) -> DataFrame:
 
 
 def _sql_values() -> str:
-    rows = []
-    for name, t in TEMPLATES.items():
-        found, width = shingles(t), window_of(t)
-        rows += [f"('{name}', {width}, {len(found)}, '{s}')" for s in found]
-    return ",\n  ".join(rows)
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return ",\n  ".join(f"({quoted(name)}, {window_of(t)}, {quoted(' '.join(words(t)))})" for name, t in TEMPLATES.items())
 
 
 OP9_SQL = f"""
-WITH t(license, width, n, shingle) AS (VALUES
+WITH tt(license, width, body) AS (VALUES
   {_sql_values()}),
+ts AS (SELECT license, width, list_distinct(list_transform(range(1, len(b) - {SHINGLE - 2}), lambda i: array_to_string(b[i:i + {SHINGLE - 1}], ' '))) AS ss
+  FROM (SELECT license, width, string_split(body, ' ') AS b FROM tt)),
+t AS (SELECT license, width, len(ss) AS n, unnest(ss) AS shingle FROM ts),
 d AS (
   SELECT doc_id, string_split(lower(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS ws FROM documents),
 p AS (

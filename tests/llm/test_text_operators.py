@@ -435,11 +435,11 @@ def test_redacting(docs, rows, spark, empty):
 # --- licenses
 
 
-def contained(text):
+def contained(text, templates=None):
     """license -> share of its shingles in the best window, by trying every window."""
     ws = re.sub(r"[^A-Za-z0-9]+", " ", text or "").strip().lower().split()
     out = {}
-    for name, template in license_scan.TEMPLATES.items():
+    for name, template in (license_scan.TEMPLATES if templates is None else templates).items():
         want, width = set(license_scan.shingles(template)), license_scan.window_of(template)
         shares = []
         for start in range(0, max(1, len(ws)), width // 4):
@@ -467,6 +467,54 @@ def test_licenses_match_brute_force(spark, docs, empty):
     assert license_scan.op9(empty).count() == 0 and license_scan.op9(docs).count() == 0
 
 
+def changed(r, ws, share):
+    """The words with a share of them in other words, in one stretch or here and there."""
+    ws, n = list(ws), int(share * len(ws))
+    at = r.randrange(len(ws) - n + 1)
+    for i in range(at, at + n) if r.random() < 0.7 else r.sample(range(len(ws)), n // 5):
+        ws[i] = "other"
+    return ws
+
+
+def test_whole_license_texts_match_brute_force(spark):
+    r, texts = random.Random(16), []
+    whole = {name: license_scan.TEMPLATES[name] for name in ("MIT-text", "Apache-2.0-text", "GPL-3.0-text")}
+    assert [license_scan.window_of(t) for t in whole.values()] == [256, 4096, 8192]
+    for template in whole.values():
+        ws = template.split()
+        for share in (0, 0.05, 0.15, 0.19, 0.21, 0.3):
+            texts.append(" ".join([prose(r, "en", r.randint(0, 900)), *changed(r, ws, share), prose(r, "de", r.randint(0, 3000))]))
+        texts.append(" ".join(ws[: len(ws) // 2] + prose(r, "fr", 30).split() + ws[len(ws) // 2 :]))
+        texts.append(" ".join(ws[len(ws) // 2 :] + ws[: len(ws) // 2]))
+        texts.append(" ".join(sorted(ws)))
+    texts.append("\n\n".join(whole.values()) * 2)
+    table = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in enumerate(texts)], SCHEMA)
+    got = {(x["doc_id"], x["license"]): (round(x["containment"], 9), x["n_windows"]) for x in license_scan.op9(table).collect()}
+    want = {(i, n): (round(c, 9), k) for i, t in enumerate(texts) for n, (c, k) in contained(t).items()}
+    assert got == want and all(sum(n == name for _, n in want) >= 5 for name in whole)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert {(d, n): (round(c, 9), k) for d, n, c, k in con.execute(license_scan.OP9_SQL).fetchall()} == want
+
+
+def test_templates_of_all_lengths(spark, monkeypatch):
+    r = random.Random(18)
+    templates = {f"t{n}": prose(r, "en", n) for n in (5, 6, 7, 8, 13, 14, 25, 26, 49, 50, 97, 98, 193, 194, 700)}
+    texts = [prose(r, "es", r.randint(0, 40)) + " " + " ".join(changed(r, t.split(), share)) + " " + prose(r, "fr", r.randint(0, 60)) for t in templates.values() for share in (0, 0.1, 0.25)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, n): (round(c, 9), k) for i, t in enumerate(texts) for n, (c, k) in contained(t, templates).items()}
+    found = lambda: {(x["doc_id"], x["license"]): (round(x["containment"], 9), x["n_windows"]) for x in license_scan.matches(table, templates).collect()}
+    assert found() == want and {n for _, n in want} == set(templates)
+    monkeypatch.setattr(license_scan, "MOST_ANCHORS", 0)
+    monkeypatch.setattr(license_scan, "BROADCAST_BANDS", 0)
+    monkeypatch.setattr(license_scan, "BROADCAST_SHINGLES", 0)
+    assert found() == want
+    assert license_scan.matches(table, {}).count() == 0
+    with pytest.raises(ValueError, match="tiny has fewer than 5 words"):
+        license_scan.matches(table, {"tiny": "only four words here"})
+
+
 def test_license_scan_has_no_python_on_its_path(docs):
     for df in (license_scan.op9(docs), quality_rules.op2(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
