@@ -62,8 +62,10 @@ PLACES = (-3, -2, -1, 1, 2)
 STATES = ("none", "assigned_hint", "hint", "linked_hint", "near_hint", "assigned")
 FILES = ("prose", "code", "env", "code_env")
 
+#: From how many characters on a token is long.
+LONG = 14
 #: Tokens, and characters of tokens, that a worker remembers; characters of the texts looked at together.
-TOKENS_HELD, CHARS_HELD, BLOCK_CHARS, TOKENS_AT_ONCE = 250_000, 5_000_000, 400_000, 50_000
+TOKENS_HELD, CHARS_HELD, BLOCK_CHARS, TOKENS_AT_ONCE = 400_000, 8_000_000, 400_000, 50_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -88,7 +90,7 @@ def entropy(s: str) -> float:
 
 
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_NATURAL = re.compile(r"[A-Z]?[^\W\d_A-Z]+")
+_NUMBER, _HEXES, _PLAIN = re.compile(r"[0-9][0-9.,%-]*"), re.compile(r"[0-9a-f]{7,}|[0-9A-F]{7,}"), re.compile(r"[\w+/=.~-]+")
 _JOINED = re.compile(r"[^\W\d_]+(?:['’_.-]+[^\W\d_]+)+")
 _PATH = re.compile(r"~?/.*|.*/.*\.\w{1,5}|\.{1,2}/.*|[\w.-]+\.(?:com|org|net|io|dev|html?|py|js|txt|json|ya?ml|png|jpe?g|md|log|cfg|conf|example)(?:/.*)?")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -96,23 +98,21 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 def mix_of(s: str) -> str:
     """The class of characters that a token is made of, one of MIXES."""
+    if s.isalpha():
+        if s[1:] == s[1:].lower():
+            return "title" if s[0].isupper() else "lower"
+        return "upper" if s.isupper() else "mixed"
     if _IS_SIGN.fullmatch(s):
         return "sign"
-    if re.fullmatch(r"[0-9][0-9.,%-]*", s):
+    if _NUMBER.fullmatch(s):
         return "digits"
-    if _NATURAL.fullmatch(s):
-        return "title" if s[0].isupper() else "lower"
-    if s.isalpha() and s.isupper():
-        return "upper"
     if _PATH.fullmatch(s):
         return "path"
     if _JOINED.fullmatch(s):
         return "joined"
-    if s.isalpha():
-        return "mixed"
-    if re.fullmatch(r"[0-9a-f]{7,}|[0-9A-F]{7,}", s):
+    if _HEXES.fullmatch(s):
         return "hex"
-    if re.fullmatch(r"[\w+/=.~-]+", s) and any(map(str.isalpha, s)):
+    if _PLAIN.fullmatch(s) and any(map(str.isalpha, s)):
         letters = [c for c in s if c.isalpha()]
         if not any(map(str.isdigit, s)):
             return "symbols"
@@ -130,7 +130,8 @@ def sign_kind(s: str) -> str:
     return "quote" if quoted else "separator" if last in ",;&|" else "open" if last in "({[" else "close" if last in ")}]" else "angle" if last in "<>" else "at" if last == "@" else "ask" if last == "?" else "other_sign"
 
 
-_HINT_IN, _SAFE_IN = (re.compile("|".join(sorted(names, key=len, reverse=True)), re.IGNORECASE | re.ASCII).search for names in (HINTS, SAFE))
+_LINKED_WORDS = {w: f"link:{w}" for w in LINKS}
+_NAME_IN = re.compile("|".join(sorted({*HINTS, *SAFE}, key=len)), re.IGNORECASE | re.ASCII).search
 
 
 def _named(s: str, names: tuple[str, ...]) -> str:
@@ -161,12 +162,14 @@ def class_of(core: str, mix: str) -> str:
     """What a token is to its neighbours, one of CLASSES."""
     if mix == "sign":
         return f"sign:{sign_kind(core)}"
-    low = core.lower()
-    if low in LINKS:
-        return f"link:{low}"
-    if _HINT_IN(core) and (hint := _named(core, HINTS)):
-        return f"hint:{hint}"
-    return "safe" if _SAFE_IN(core) and _named(core, SAFE) else f"mix:{mix}"
+    if link := _LINKED_WORDS.get(core.lower()):
+        return link
+    if _NAME_IN(core):
+        if hint := _named(core, HINTS):
+            return f"hint:{hint}"
+        if _named(core, SAFE):
+            return "safe"
+    return f"mix:{mix}"
 
 
 class _Kinds(dict):
@@ -184,9 +187,22 @@ _VOWELLESS = re.compile("[b-df-hj-np-tv-xz]+", re.IGNORECASE)
 _MARKS = re.compile(r"[!#$%^*~\\]")
 
 
-def lead_of(token: str) -> str:
-    """What stands before a token: the begin of a line, other white space or nothing."""
-    return "lead:line" if token[0] in "\n\r" else "lead:space" if token[0].isspace() else "lead:glued"
+def _consonants(core: str) -> int:
+    """The longest run of consonants, 8 at most."""
+    return min(8, max(map(len, _VOWELLESS.findall(core)), default=0))
+
+
+#: What stands before a token: the begin of a line, other white space or nothing.
+LEADS = ("line", "space", "glued")
+
+
+class _Leads(dict):
+    def __missing__(self, c: str) -> int:
+        at = self[c] = 0 if c in "\n\r" else 1 if c.isspace() else 2
+        return at
+
+
+_LEAD_AT = _Leads()
 
 
 def core_features(core: str) -> tuple[list[str], str, str]:
@@ -196,16 +212,15 @@ def core_features(core: str) -> tuple[list[str], str, str]:
     out = ["bias", f"mix:{mix}", f"is:{kind}", f"mix:{mix}/len:{min(n // 4, 12)}"]
     if mix == "sign":
         return out, coarse, kind
-    long = int(n >= 14)
-    consonants = max(map(len, _VOWELLESS.findall(core)), default=0)
+    long, consonants = int(n >= LONG), _consonants(core)
     if mix in ("lower", "title") and not long:
-        return [*out, f"natural/consonants:{min(consonants, 8)}"], coarse, kind
+        return [*out, f"natural/consonants:{consonants}"], coarse, kind
     kinds = core.translate(_KINDS)
     digits, upper, letters = kinds.count("d"), kinds.count("u"), len(kinds) - kinds.count("s") - kinds.count("d")
     changes = sum(1 for _ in groupby(kinds)) - 1
     out += [
         f"digits:{min(int(8 * digits / n), 6)}", f"case:{int(upper > 1)}{int(letters - upper > 1)}{int(digits > 0)}", f"changes:{min(int(10 * changes / n), 7)}/long:{long}",
-        f"vowels:{min(int(8 * len(_VOWELS.findall(core)) / max(1, letters)), 5)}/long:{long}", f"consonants:{min(consonants, 8)}",
+        f"vowels:{min(int(8 * len(_VOWELS.findall(core)) / max(1, letters)), 5)}/long:{long}", f"consonants:{consonants}",
     ]
     if n >= 6:
         out.append(f"entropy:{min(int(2 * entropy(core)), 11)}/long:{long}")
@@ -230,7 +245,7 @@ def core_features(core: str) -> tuple[list[str], str, str]:
 def shape_features(token: str) -> tuple[list[str], str, str]:
     """core_features() of a token, with what stands before it."""
     own, coarse, kind = core_features(core_of(token))
-    return [lead_of(token), *own], coarse, kind
+    return [f"lead:{LEADS[_LEAD_AT[token[0]]]}", *own], coarse, kind
 
 
 def file_of(text: str) -> int:
@@ -273,29 +288,38 @@ class Field:
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.cores, self.chars = {}, {}, 0
+        self.index, self.cores, self.alike, self.chars = {}, {}, {}, 0
         self.shapes, self.kinds, self.coarse = np.zeros((0, 2)), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
 
     def _core(self, core: str) -> tuple[float, float, int, int]:
         known = self.cores.get(core)
+        if known is not None:
+            return known
+        # Short words differ in few features, and are most of what is new.
+        alike = (len(core), mix := mix_of(core), class_of(core, mix), _consonants(core)) if len(core) < LONG and core.isalpha() else None
+        known = self.alike.get(alike) if alike and mix in ("lower", "title") else None
         if known is None:
             names, coarse, kind = core_features(core)
             w = [x for x in map(self.weights.get, names) if x]
-            known = self.cores[core] = (sum(x[0] for x in w), sum(x[1] for x in w), _COARSE_AT[coarse], _CLASS_AT[kind])
+            known = (sum(x[0] for x in w), sum(x[1] for x in w), _COARSE_AT[coarse], _CLASS_AT[kind])
+            if alike and mix in ("lower", "title"):
+                self.alike[alike] = known
+        self.cores[core] = known
         return known
 
     def learn(self, tokens: list[str]) -> np.ndarray:
         """Each token's place in the tables of what is known of tokens."""
-        new = sorted(set(tokens).difference(self.index))
+        new = list(set(tokens).difference(self.index))
         if len(self.index) + len(new) > TOKENS_HELD or self.chars > CHARS_HELD:
             self.forget()
-            new = sorted(set(tokens))
+            new = list(set(tokens))
         if new:
             made = [self._core(core_of(t)) for t in new]
-            lead = np.array([self.weights.get(lead_of(t), (0.0, 0.0)) for t in new])
-            self.shapes = np.concatenate([self.shapes, np.array([m[:2] for m in made]) + lead])
-            self.coarse = np.concatenate([self.coarse, np.array([m[2] for m in made], np.uint8)])
-            self.kinds = np.concatenate([self.kinds, np.array([m[3] for m in made], np.uint8)])
+            table = np.array(made)
+            lead = np.array([self.weights.get(f"lead:{x}", (0.0, 0.0)) for x in LEADS])[[_LEAD_AT[t[0]] for t in new]]
+            self.shapes = np.concatenate([self.shapes, table[:, :2] + lead])
+            self.coarse = np.concatenate([self.coarse, table[:, 2].astype(np.uint8)])
+            self.kinds = np.concatenate([self.kinds, table[:, 3].astype(np.uint8)])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.chars += sum(map(len, new))
         return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
@@ -348,6 +372,22 @@ class Field:
         ahead = np.maximum.accumulate(sums[::-1])[::-1]
         return (ahead - before > -1e-9 * (1 - sums.min())) & np.isfinite(bound)
 
+    def worth(self, gains: np.ndarray, lows: np.ndarray, highs: np.ndarray, most: int = 64) -> np.ndarray:
+        """Which stretches can score more than all O does, by the best scores of all of them side by side; those of more than
+        `most` tokens are taken to."""
+        sizes, m = highs - lows, self.moves
+        out = sizes > most
+        at = np.flatnonzero(~out)
+        best = np.tile([0.0, -np.inf, -np.inf], (len(at), 1))
+        for t in range(int(sizes[at].max()) if len(at) else 0):
+            on = np.flatnonzero(sizes[at] > t)
+            g, old = gains[lows[at[on]] + t], best[on]
+            come = (old[:, :, None] + m).max(axis=1)
+            come[:, 1:] += g
+            best[on] = come
+        out[at] = (best + m[:, 0]).max(axis=1) > 0
+        return out
+
     def viterbi(self, gains: np.ndarray) -> str:
         """The best labels of a stretch with O on both sides; ties go to O, then to B."""
         m, back = self.moves.tolist(), []
@@ -367,8 +407,10 @@ class Field:
         """For each text, (token's place, labels) of the stretches that were decoded and aren't all O."""
         gains, starts = self.gains(texts)
         marked = np.flatnonzero(np.diff(np.concatenate([[0], self.live(gains).astype(np.int8), [0]])))
+        lows, highs = marked[::2], marked[1::2]
+        worth = self.worth(gains, lows, highs)
         out: list[list[tuple[int, str]]] = [[] for _ in texts]
-        for low, high in zip(marked[::2].tolist(), marked[1::2].tolist(), strict=True):
+        for low, high in zip(lows[worth].tolist(), highs[worth].tolist(), strict=True):
             found = self.viterbi(gains[low:high])
             if "B" in found:
                 text = int(np.searchsorted(starts, low, side="right")) - 1
