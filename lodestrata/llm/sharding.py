@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,6 @@ SHARDS = 40
 OVERHEAD = 16
 #: Groups that one task numbers, on average.
 PART_GROUPS = 65_536
-#: Most rows of the schedule that are broadcast; more of them are joined by size.
-BROADCAST_ROWS = 1_000_000
 
 
 def dealt(loads: list[int], size: int, n: int) -> list[int]:
@@ -96,13 +95,21 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     )
     rows = cut_lineage(rows)
     groups = cut_lineage(rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
-    histogram = [(r["bytes"], r["k"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("k")).collect()]
-    planned = schedule(histogram, shards)
-    table = docs.sparkSession.createDataFrame(planned, "bytes long, shard int, first long, k long")
-    parts = max(1, math.ceil(sum(k for _, k in histogram) / PART_GROUPS))
-    placed = numbered(groups, "bytes", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"), ["h"], "_rank")
-    table = F.broadcast(table) if len(planned) <= BROADCAST_ROWS else table
-    placed = placed.join(table, "bytes").filter((F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("first") + F.col("k")))
+    histogram = dict(zip(*(c.to_pylist() for c in groups.groupBy("bytes").agg(F.count("*").alias("k")).toArrow().columns), strict=True))
+    parts = max(1, math.ceil(sum(histogram.values()) / PART_GROUPS))
+    ranked = numbered(groups, "bytes", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"), ["h"], "_rank")
+    # What is left to tell groups of one size apart by is their rank: a size's row holds how many groups each shard takes, one after another.
+    planned: dict[int, list[list[int]]] = {}
+    for size, shard, _, k in schedule(list(histogram.items()), shards):
+        planned.setdefault(size, [[], []])[0].append(shard)
+        planned[size][1].append(k)
+    table = docs.sparkSession.createDataFrame(pa.table({
+        "bytes": pa.array(planned, pa.int64()), "shards": pa.array([x for x, _ in planned.values()], pa.list_(pa.int32())),
+        "takes": pa.array([x for _, x in planned.values()], pa.list_(pa.int64())), "k": pa.array([histogram[size] for size in planned], pa.int64()),
+    }))
+    through = F.transform("takes", lambda _, i: F.aggregate(F.slice("takes", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    shard = F.get("shards", F.size(F.filter(through, lambda t: t <= F.col("_rank"))))
+    placed = by_key(cut_lineage(ranked), table, "bytes", "k").withColumn("shard", shard)
     return by_key(rows, cut_lineage(placed.select("h", "shard", "n")), "h", "n").select(key, "size", "text_crc32", "shard")
 
 
