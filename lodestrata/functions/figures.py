@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrata.constants import ANSWER_NUMBER, FLAGS, NOT_WITHIN_WORD, PASSAGE_NUMBER, PLAIN_YEAR
+from lodestrata.constants import ANSWER_NUMBER, FLAGS, PASSAGE_NUMBER, PLAIN_YEAR
 from lodestrata.functions.citations import cited_numbers, without_citations
 from lodestrata.functions.text import let, stripped
 
 #: What stands before and after a number is matched too, as matches carry no positions.
-_WITH_CONTEXT = FLAGS + r"(≈\s*)?" + NOT_WITHIN_WORD + ANSWER_NUMBER + r"(\s*[x×])?"
+_WITH_CONTEXT = FLAGS + r"(≈\s*)?" + ANSWER_NUMBER + r"(\s*[x×])?"
 _PARTS, _MARK = "$1\x1f$2\x1f$3\x1f$4\x1f$5", "\x1f"
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How a daily limit and the time to wait are told, and what users read.
+# How a daily limit and the time to wait are told.
 DAILY_MARKS = ("per day", "(TPD)", "(RPD)")
 RETRY_IN = r"(?i)try again in ((?:[0-9]+h)?(?:[0-9]+m)?[0-9.]+s)"
-DAILY_TEXT = "The daily token limit of the free Groq tier has been reached, so no new model calls can be made for now."
-MINUTE_TEXT = "The Groq API is busy: its per-minute rate limit was reached."
+DAILY_TEXT = "The model service allows no more calls today: its daily quota is used up."
+MINUTE_TEXT = "The model service is asked too often at the moment and refuses calls for a while."
 
 
 def is_daily_limit(message: str) -> bool:

@@ -94,6 +94,8 @@ def fixed_stride_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def chunk_counts(chunks: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """A row for each value of `row`: the number of chunks under each value of `column`, 0 if none, and `total`."""
-    counted = chunks.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0, list(values))
-    return counted.withColumn("total", sum((F.col(f"`{v}`") for v in values), F.lit(0)).cast("long"))
+    """A row for each value of `row`: the number of chunks under each value of `column`, 0 if none, under `other` that of all other
+    values and of none, and `total`, of all."""
+    each = [F.count_if(F.col(column) == v).alias(v) for v in values]
+    other = F.count_if(~F.coalesce(F.col(column).isin(*values), F.lit(False))).alias("other")
+    return chunks.groupBy(row).agg(*each, other, F.count(F.lit(1)).alias("total"))

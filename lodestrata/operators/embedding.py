@@ -18,15 +18,15 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """A deterministic stand-in for a model: signed hashed counts of the first max_tokens words, at unit length."""
+    """A deterministic stand-in for a model: signed hashed counts of all words, at unit length."""
 
-    def __init__(self, dimensions: int = 64, max_tokens: int = 256):
-        self.dimensions, self.max_tokens = dimensions, max_tokens
+    def __init__(self, dimensions: int = 64):
+        self.dimensions = dimensions
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"\w+", text.lower())[: self.max_tokens]:
+            for word in re.findall(r"\w+", text.lower()):
                 h = xxhash.xxh64_intdigest(word)
                 row[h % self.dimensions] += 1 if h >> 63 else -1
             norm = float(np.sqrt((row.astype(np.float64) ** 2).sum()))

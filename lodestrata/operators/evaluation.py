@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.constants import CATEGORY_QUERIES
 from lodestrata.functions.rubric import overall_score
 from lodestrata.functions.text import collapse, stripped
+from lodestrata.operators.passages import holding
 
 # Questions that are asked of every filing, and the passages that must be retrieved for them.
 QUESTIONS = {"revenue": "What was the total revenue?", "net_income": "How did net income change year over year?"}
@@ -57,23 +58,9 @@ def check_retrieval(retrieved: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def containing(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", passage_key: str = "item_id", passage: str = "passage") -> DataFrame:
-    """key, passage_key: the texts that hold a passage, white space collapsed on both sides.
-
-    A passage's inner words stand whole in every text that holds it, so its longest inner word finds the
-    texts to look at by an equi-join; only those are searched. Passages of less than three words have no
-    inner word and are looked for everywhere. Empty passages match nothing."""
-    wanted = passages.select(F.col(passage_key), stripped(collapse(F.col(passage))).alias("_p")).filter(F.col("_p") != "")
-    words = F.split("_p", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]
-    anchored = wanted.withColumn("_word", longest)
+    """key, passage_key: the texts that hold a passage, white space collapsed on both sides. See passages.holding()."""
     bodies = docs.select(F.col(key), collapse(F.col(text)).alias("_t"))
-    each = bodies.select(key, F.explode(F.array_distinct(F.split("_t", " "))).alias("_word"))
-    near = each.join(anchored.filter("_word IS NOT NULL"), "_word").select(key, passage_key, "_p").distinct()
-    by_word = near.join(bodies, key).filter(F.contains("_t", F.col("_p"))).select(key, passage_key)
-    short = anchored.filter("_word IS NULL").select(passage_key, "_p")
-    everywhere = bodies.join(short, F.contains("_t", F.col("_p"))).select(key, passage_key)
-    return by_word.union(everywhere).distinct()
+    return holding(bodies, passages.select(F.col(passage_key), stripped(collapse(F.col(passage))).alias("_p")), key, passage_key)
 
 
 def compare_with_labels(scores: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:

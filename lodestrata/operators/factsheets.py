@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.constants import FACT_TOPICS
 from lodestrata.functions.facts import fact_value, number_text, ratio_text
 from lodestrata.functions.labels import statement_name
+from lodestrata.operators.passages import holding
 
 #: facts: key, ord, id, topic, label, section, statement (null: the whole Item), quote, value, unit.
 #: lines: key, section, statement, text (as of statements.statement_lines).
@@ -21,8 +22,14 @@ def scope_lines(lines: DataFrame, facts: DataFrame, key: str = "ticker") -> Data
 
 
 def quote_lines(lines: DataFrame, facts: DataFrame, key: str = "ticker") -> DataFrame:
-    """key, id, n_lines: on how many distinct lines of its scope each quote stands."""
-    found = scope_lines(lines, facts, key).join(facts.select(key, "id", "quote"), [key, "id"]).filter(F.contains("text", F.col("quote")))
+    """key, id, n_lines: on how many distinct lines of its scope each quote stands. Only lines with the quote's rarest
+    inner word are looked at, see passages.holding(); the statement is held against the lines that were found."""
+    scope, line = [key, "section"], F.xxhash64("statement", "text").alias("_line")
+    distinct = lines.select(*scope, "statement", "text", line).distinct()
+    wanted = facts.select(*scope, "id", F.col("statement").alias("_statement"), F.col("quote").alias("_p"))
+    met = holding(distinct.withColumnRenamed("text", "_t"), wanted, "_line", "id", scope)
+    placed = met.join(distinct.select(*scope, "_line", "statement", "text"), [*scope, "_line"]).join(wanted.drop("_p"), [*scope, "id"])
+    found = placed.filter(F.col("_statement").isNull() | (F.col("_statement") == F.col("statement")))
     counted = found.groupBy(key, "id").agg(F.count_distinct("text").alias("n_lines"))
     return facts.select(key, "id").join(counted, [key, "id"], "left").select(key, "id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 

@@ -29,6 +29,11 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda total, x: total + x)
 
 
+def broadcast_few(rows: DataFrame, column: str, most: int = MOST_SEARCHES) -> DataFrame:
+    """rows, broadcast if there are no more than `most` of them; counting stops there."""
+    return F.broadcast(rows) if len(rows.select(column).limit(most + 1).collect()) <= most else rows
+
+
 def best(scored: DataFrame, by: list[str], k: Column | int, most: int, order: list[Column]) -> DataFrame:
     """The first k rows of each group with `rank` (from 1). `most` bounds k by a literal, so that the planner
     keeps no more rows a group and task before the exchange."""
@@ -40,8 +45,7 @@ def search(chunks: DataFrame, searches: DataFrame, tie: list[str], most: int, ve
     """search_id, ord, rank, similarity and the chunk's columns: the k nearest chunks of each search, from its
     ticker and section only. Ties go to the smaller key."""
     wanted = searches.select("search_id", "ord", "ticker", F.col("section").alias("_section"), "k", F.col("vector").alias("_vector"))
-    if len(searches.select("search_id").limit(MOST_SEARCHES + 1).collect()) <= MOST_SEARCHES:
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_few(wanted, "search_id")
     met = chunks.join(wanted, "ticker").filter(F.col("_section").isNull() | (F.col("_section") == F.col("section")))
     scored = met.withColumn("similarity", similarity(F.col(vector), F.col("_vector")))
     found = best(scored, ["search_id", "ord"], F.col("k"), most, [F.col("similarity").desc(), *map(F.col, tie)])
@@ -113,7 +117,7 @@ def section_quotas(sources: DataFrame) -> DataFrame:
 def category_chunks(chunks: DataFrame, quotas: DataFrame, vectors: DataFrame) -> DataFrame:
     """ticker, category, n and the chunk's columns: what each category of each ticker reads, in the order of
     searches and Items, without repeats. vectors: query, vector."""
-    searches = quotas.join(F.broadcast(vectors), "query").select(
+    searches = quotas.join(broadcast_few(vectors, "query"), "query").select(
         F.concat_ws("\x1f", "ticker", "category").alias("search_id"), (F.col("search_no") * 100 + F.col("sec_ord")).alias("ord"), "ticker", "section", "k", "vector"
     )
     most = max(k for wanted in (*CATEGORY_QUOTAS.values(), *(q for _, q in EXTRA_SEARCHES.values())) for k in wanted.values())

@@ -187,7 +187,7 @@ def fixed_stride_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "chunk_counts_pivot",
     f"""WITH {_STRIDE} SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es,
-  count(*) FILTER (lang IN ('en', 'de', 'fr', 'es')) AS total FROM ch GROUP BY source""",
+  count(*) FILTER (lang IS NULL OR lang NOT IN ('en', 'de', 'fr', 'es')) AS other, count(*) AS total FROM ch GROUP BY source""",
 )
 def chunk_counts_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -75,11 +75,11 @@ def score_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: case -> (reason, short reason).
 _REASONS = [
-    ("concat('Gross exposure: ', n, '.1% of revenue is earned outside the U.S. [2][1]. Hedging: notional $21 million [3].')", "concat('Gross exposure: ', n, '.1% of revenue is earned outside the U.S.')"),
-    ("concat('Cash of $', n, ' million covers ≈19% of it (passages [2] and [3]); the company relies on refinancing [4].')", "concat('Cash of $', n, ' million covers ≈19% of it')"),
-    ("concat('The company reports $', n, ' million in net revenues and $11 million net earnings (2025) [1]; it discloses a range of ', n, ' cases [3].')", "concat('It discloses a range of ', n, ' cases')"),
-    ("concat('Net income was $', n, ' million [1].')", "concat('Net income was $', n, ' million')"),
-    ("concat('debt of $4.37 billion ', repeat(concat(n, ' word '), 20), 'end.')", "concat('Debt of $4.37 billion', repeat(concat(' ', n, ' word'), 8), '…')"),
+    ("concat('Reach: ', n, '.1% of sales is made outside the E.U. [2][1]. Cover: nominal $9 million [3].')", "concat('Reach: ', n, '.1% of sales is made outside the E.U.')"),
+    ("concat('Deposits of $', n, ' million meet ≈31% of it (passages [2] and [3]); loans meet the rest [4].')", "concat('Deposits of $', n, ' million meet ≈31% of it')"),
+    ("concat('The company reports $', n, ' million in net revenues and $11 million net earnings (2025) [1]; it names ', n, ' ports [3].')", "concat('It names ', n, ' ports')"),
+    ("concat('Net earnings were $', n, ' million [1].')", "concat('Net earnings were $', n, ' million')"),
+    ("concat('loans of $6.12 billion ', repeat(concat(n, ' word '), 20), 'end.')", "concat('Loans of $6.12 billion', repeat(concat(' ', n, ' word'), 8), '…')"),
 ]
 
 

@@ -120,8 +120,8 @@ _LIMIT = "concat('Rate limit reached on tokens per ', CASE WHEN o_orderkey % 2 =
 @register(
     "rate_limit_messages",
     """
-SELECT o_orderkey, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'The daily token limit of the free Groq tier has been reached, so no new model calls can be made for now.'
-  ELSE 'The Groq API is busy: its per-minute rate limit was reached.' END,
+SELECT o_orderkey, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'The model service allows no more calls today: its daily quota is used up.'
+  ELSE 'The model service is asked too often at the moment and refuses calls for a while.' END,
   CASE WHEN o_orderkey % 3 = 0 THEN concat(' Try again in about ', o_orderkey % 50, 'm', o_custkey % 60, 's.') ELSE '' END) AS message FROM orders
 """,
 )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +16,9 @@ def write_sections(sections: DataFrame, path: str, key: str = "ticker") -> None:
     sections.write.mode("overwrite").partitionBy(key).json(path)
 
 
-def write_sheets(sheets: DataFrame, root: Path, key: str = "ticker") -> list[Path]:
-    """One Markdown file a company: a registry's worth of rows, fetched one by one."""
-    root.mkdir(parents=True, exist_ok=True)
-    out = []
-    for row in sheets.select(key, "sheet").toLocalIterator():
-        out.append(root / f"{row[key]}.md")
-        out[-1].write_text(row["sheet"], encoding="utf-8", newline="\n")
-    return out
+def write_sheets(sheets: DataFrame, root: str, key: str = "ticker") -> None:
+    """One Markdown file a company, as <root>/<key>=<company>/part-*.txt, written by the tasks that hold the sheets."""
+    sheets.select(key, F.col("sheet").alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy(key).text(root)
 
 
 def write_evaluation(result: DataFrame, root: str, setting: str, kind: str = "", now: datetime | None = None) -> str:

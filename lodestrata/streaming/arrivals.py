@@ -21,12 +21,12 @@ def arriving_filings(spark: SparkSession, root: str, files_at_once: int = 64) ->
 
 
 def ingest_arrivals(pins: DataFrame, root: str, path: str, checkpoint: str, make: Callable[[], Embedder] = HashingEmbedder) -> StreamingQuery:
-    """Add the chunks of all files that are there to the store at path, and end. A batch that is run again
-    replaces its own partition, so that no chunk is stored twice."""
+    """Add the chunks of all files that are there to the store at path, and end. A filing's chunks are a partition of their own:
+    a batch that is run again, and a filing that arrives again, replaces what there was of it, so that no chunk is stored twice."""
     spark = pins.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        chunks = with_embeddings(chunk_filings(pins, sections_of(batch)), make).withColumn("batch", F.lit(number))
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "ticker").parquet(path)
+        chunks = with_embeddings(chunk_filings(pins, sections_of(batch)), make)
+        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker", "accession").parquet(path)
 
     return arriving_filings(spark, root).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -263,8 +263,8 @@ def test_labels(spark, tmp_path):
 
 
 def test_hits_and_containing(spark):
-    retrieved = spark.createDataFrame([("c", 1, "8", 4, "Total  revenues\n94,827 97,690 x"), ("c", 2, "7", 1, "no"), ("d", 1, "7", 1, "no")], "check_name string, n int, section string, chunk_index int, text string")
-    passages = spark.createDataFrame([("c", "Total revenues 94,827 97,690"), ("d", "yes"), ("e", "x")], "check_name string, passage string")
+    retrieved = spark.createDataFrame([("c", 1, "8", 4, "Harbour  dues\n11,402 10,953 x"), ("c", 2, "7", 1, "no"), ("d", 1, "7", 1, "no")], "check_name string, n int, section string, chunk_index int, text string")
+    passages = spark.createDataFrame([("c", "Harbour dues 11,402 10,953"), ("d", "yes"), ("e", "x")], "check_name string, passage string")
     rows = {r["check_name"]: r for r in evaluation.check_retrieval(retrieved, passages).collect()}
     assert [tuple(x) for x in rows["c"]["hit"]] == [("8", 4)] and rows["d"]["hit"] == [] and rows["e"]["retrieved"] is None
     docs = spark.createDataFrame([(1, "alpha beta  gamma\ndelta"), (2, "xalpha beta gammay"), (3, "beta"), (4, None)], "doc_id long, text string")
@@ -282,23 +282,23 @@ topic = "scale"
 label = "Revenue"
 section = "8"
 statement = "income"
-quote = "Total revenues | 2025: 94,827"
-value = "94,827"
+quote = "Takings of the year | 2031: 52,310"
+value = "52,310"
 unit = "millions"
 [[T.facts]]
 id = "us"
 topic = "fx"
 label = "US"
 section = "8"
-quote = "US | 2025: $47.627"
-value = "47.627"
+quote = "US | 2031: $21.845"
+value = "21.845"
 unit = "billions"
 [[T.facts]]
 id = "policy"
 topic = "fx"
 label = "Policy"
 section = "7A"
-quote = "not typically hedge"
+quote = "rarely buy cover"
 [[T.ratios]]
 topic = "fx"
 label = "Outside"
@@ -309,27 +309,28 @@ denominator = ["revenue"]
 
 def test_fact_sheets(spark, tmp_path):
     facts, ratios, notes = fact_specs.fact_tables(spark, SPECS)
-    rows = [("T", "8", "income", "Total revenues | 2025: 94,827"), ("T", "8", "", "Total revenues | 2025: 94,827 again"), ("T", "8", "", "US | 2025: $47.627"), ("T", "7A", "", "We do not typically hedge."), ("T", "7A", "", "We do not typically hedge.")]
+    rows = [("T", "8", "income", "Takings of the year | 2031: 52,310"), ("T", "8", "", "Takings of the year | 2031: 52,310 again"), ("T", "8", "", "US | 2031: $21.845"), ("T", "7A", "", "We rarely buy cover."), ("T", "7A", "", "We rarely buy cover.")]
     lines = spark.createDataFrame(rows, "ticker string, section string, statement string, text string")
     assert factsheets.fact_problems(lines, facts).count() == 0
-    twice = lines.union(spark.createDataFrame([("T", "7A", "", "not typically hedge, again")], lines.schema))
+    twice = lines.union(spark.createDataFrame([("T", "7A", "", "rarely buy cover, again")], lines.schema))
     assert [r["problem"] for r in factsheets.fact_problems(twice, facts).collect()] == ["quote found on 2 distinct lines of Item 7A"]
     bad = facts.withColumn("value", F.lit("1,000"))
     assert factsheets.fact_problems(lines, bad).count() == 3
     with pytest.raises(Exception, match="value 1,000 is not in the quote"):
         factsheets.fact_values(bad).collect()
     ratio = factsheets.ratio_values(ratios, factsheets.fact_values(facts)).first()
-    assert (ratio["formula"], ratio["shown"], ratio["missing"]) == ("(94,827 - 47,627) / 94,827", "49.8%", [])
+    assert (ratio["formula"], ratio["shown"], ratio["missing"]) == ("(52,310 - 21,845) / 52,310", "58.2%", [])
     sections = spark.createDataFrame([("T", "8", ""), ("T", "7A", "Item 7, Market Risk")], "ticker string, section string, resolved_from string")
     made = factsheets.sheets(pins.pins_table(spark, [PIN | {"ticker": "T"}]), sections, facts, ratios, notes)
-    (path,) = reports.write_sheets(made, tmp_path)
-    sheet = path.read_text()
-    assert "- **Revenue**: “Total revenues | 2025: 94,827” (Item 8 · Income statement)\n" in sheet and "(Item 7A (Item 7, Market Risk))" in sheet
-    assert "| Outside | (94,827 - 47,627) / 94,827 | 49.8% |" in sheet and sheet.index("## Scale") < sheet.index("## FX") < sheet.index("## Interest") < sheet.index("## Notes")
+    reports.write_sheets(made, str(tmp_path / "sheets"))
+    (path,) = (tmp_path / "sheets" / "ticker=T").glob("part-*")
+    sheet = path.read_text(encoding="utf-8")
+    assert "- **Revenue**: “Takings of the year | 2031: 52,310” (Item 8 · Income statement)\n" in sheet and "(Item 7A (Item 7, Market Risk))" in sheet
+    assert "| Outside | (52,310 - 21,845) / 52,310 | 58.2% |" in sheet and sheet.index("## Scale") < sheet.index("## FX") < sheet.index("## Interest") < sheet.index("## Notes")
 
 
 #: ratio -> its operands and how it is shown, as fact sheets have them.
-GOLDEN = [((20962 + 26238) / 94827, "49.8%"), (1700 / 94827, "1.8%"), (1700 / 4355, "39.0%"), (8177 / (16510 + 27550), "18.6%"), (338 / 4355, "7.8%"), (1576 / (16510 + 27550), "3.6%"), ((64377 + 199994) / 416161, "63.5%")]
+GOLDEN = [((21000 + 9000) / 60000, "50.0%"), (1234 / 60000, "2.1%"), (7 / 900, "0.78%"), (8.5 / 2, "4.2×"), (0.25, "25.0%"), (61 / 60, "1.0×"), (45 / 100000, "0.04%")]
 
 
 def test_golden_ratios(spark):
