@@ -8,7 +8,9 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from lodestrata.constants import DEFAULT_TEMPERATURE, DEFAULT_WAIT_SECONDS, MAX_WAIT_SECONDS, RATE_LIMIT_RETRIES
 from lodestrata.functions.limits import is_daily_limit
@@ -74,3 +76,36 @@ def complete(rows: DataFrame, make: Callable[[], Client], max_tokens: int | None
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "reply", "stopped"])
 
     return rows.repartition(calls_at_once).mapInArrow(run, schema)
+
+
+def complete_kept(rows: DataFrame, key: str, path: str, make: Callable[[], Client], max_tokens: int | None, temperature: float = DEFAULT_TEMPERATURE, prompt: str = "prompt", steps: int = 16, calls_at_once: int = 1) -> DataFrame:
+    """complete() in steps, whose replies are kept at path (shared by all executors): what a lost executor, a used-up quota or a
+    new start asks again is one step's prompts at most, never those already answered.
+
+    A step is a part of the keys by their hash. The keys of a step that have a reply are left out of it; once a step ends with
+    the quota used up, no further one is begun. Rows come back with reply and stopped as of complete(); stopped is "not asked" for
+    the rows of steps that weren't begun."""
+    spark, step_of = rows.sparkSession, F.pmod(F.xxhash64(key), F.lit(steps)).cast("int")
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, reply string"
+
+    def kept() -> DataFrame:
+        try:
+            return spark.read.schema(f"{schema}, step int").parquet(path)
+        except AnalysisException:
+            return spark.createDataFrame([], f"{schema}, step int")
+
+    asked, stopped = rows.select(key, prompt).filter(F.col(prompt).isNotNull()), None
+    for step in range(steps):
+        left = asked.filter(step_of == step).join(kept().select(key), key, "left_anti")
+        if stopped is not None or left.isEmpty():
+            continue
+        made = complete(left, make, max_tokens, temperature, prompt, calls_at_once)
+        # The replies are written as they come; the reason to stop is told by the rows that have none.
+        made.withColumn("step", F.lit(step)).select(key, "reply", "stopped", "step").write.mode("append").parquet(f"{path}/_tried")
+        tried = spark.read.parquet(f"{path}/_tried").filter(F.col("step") == step)
+        answered = tried.filter("reply IS NOT NULL").select(key, "reply").dropDuplicates([key])
+        answered.withColumn("step", F.lit(step)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
+        stopped = tried.join(answered.select(key), key, "left_anti").agg(F.max("stopped")).first()[0]
+    why = F.when(F.col(prompt).isNotNull() & F.col("reply").isNull(), F.lit(stopped or "not asked"))
+    return rows.join(kept().select(key, "reply"), key, "left").withColumn("stopped", why)

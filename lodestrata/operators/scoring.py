@@ -76,7 +76,7 @@ def score_list(rows: Column) -> Column:
 
 
 def summaries(chunks: DataFrame, scores: DataFrame, vectors: DataFrame, client: Callable[[], Client]) -> DataFrame:
-    """ticker, overall, level, scored, categories, summary. Without an overall score no call is made."""
+    """ticker, overall, level, scored, categories, summary, stopped. Without an overall score no call is made."""
     overall = overall_scores(scores)
     rows = scores.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("cat_ord", "category", "score"))).alias("_rows"))
     searches = scores.select("ticker", F.lit(SUMMARY_QUERY).alias("query")).distinct().join(vectors, "query").select(
@@ -88,7 +88,7 @@ def summaries(chunks: DataFrame, scores: DataFrame, vectors: DataFrame, client:
     prompt = F.when(F.col("overall").isNotNull(), summary_prompt(score_list(F.col("_rows")), F.col("overall"), text))
     replied = complete(joined.withColumn("prompt", prompt), client, SUMMARY_MAX_TOKENS)
     missing = F.concat(F.lit(f"Fewer than {MIN_SCORED_CATEGORIES} of "), F.col("categories").cast("string"), F.lit(" risk categories could be scored, so no summary was generated."))
-    return replied.select("ticker", "overall", "level", "scored", "categories", F.when(F.col("overall").isNull(), missing).otherwise(F.trim("reply")).alias("summary"))
+    return replied.select("ticker", "overall", "level", "scored", "categories", F.when(F.col("overall").isNull(), missing).otherwise(F.trim("reply")).alias("summary"), "stopped")
 
 
 def run_risk_analysis(chunks: DataFrame, pins: DataFrame, client: Callable[[], Client], make: Callable[[], Embedder] = HashingEmbedder) -> tuple[DataFrame, DataFrame]:
