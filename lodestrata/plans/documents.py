@@ -62,7 +62,7 @@ def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = "repeat('Rates may move. ', 40)"
 _POINTER_TEXTS = [
     ("'Item 1. Business'", None), ("repeat('We ship things. ', 40)", None), ("'Item 7. Review'", 12), ("concat('General ', k)", 9), ("IF(k % 3 = 0, 'MARKET RISK', 'Other matters')", 10), ("concat('Part of ', k)", None), ("'Small head'", 8),
-    ("concat('Below ', k)", None), ("'Next head'", 10), ("'After'", None), ("'Item 7A. Market Risk'", 12), (f"IF(k % 3 = 2, {_LONG}, 'This is included in Item 7, \"Market Risk.\"')", None), ("'Item 8. Statements'", 12), ("'Figures'", None),
+    ("concat('Below ', k)", None), ("'Next head'", 10), ("'After'", None), ("'Item 7A. Market Risk'", 12), (f"IF(k % 3 = 2, {_LONG}, 'This is included in Item 7, \"Market Risk\".')", None), ("'Item 8. Statements'", 12), ("'Figures'", None),
 ]
 _POINTER_LINES = "array(" + ", ".join(f"named_struct('n', {n}, 'text', {text}, 'size', CAST({'NULL' if size is None else size} AS DOUBLE))" for n, (text, size) in enumerate(_POINTER_TEXTS)) + ")"
 
@@ -71,7 +71,7 @@ _POINTER_LINES = "array(" + ", ".join(f"named_struct('n', {n}, 'text', {text}, '
     "pointers_resolved",
     """
 WITH s AS (SELECT s_suppkey AS k FROM supplier)
-SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN concat('Part of ', k, chr(10), 'Small head', chr(10), 'Below ', k) WHEN 1 THEN 'This is included in Item 7, "Market Risk."' ELSE repeat('Rates may move. ', 40) END AS text,
+SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN concat('Part of ', k, chr(10), 'Small head', chr(10), 'Below ', k) WHEN 1 THEN 'This is included in Item 7, "Market Risk".' ELSE repeat('Rates may move. ', 40) END AS text,
   CASE k % 3 WHEN 0 THEN 'pointer_resolved' WHEN 1 THEN 'short_unresolved' ELSE 'own' END AS content_source, CASE k % 3 WHEN 0 THEN 'Item 7, Market Risk' ELSE '' END AS resolved_from,
   CASE k % 3 WHEN 0 THEN 'pointer resolved to Item 7, Market Risk' WHEN 1 THEN 'short, pointer not resolved: risk scoring also reads Item 7' ELSE 'own content' END AS described FROM s
 """,

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from lodestrata.plans import documents, evaluations, facts, filings, lines, replies, retrieval, texts  # noqa: F401
+    from lodestrata.plans import analyses, documents, evaluations, facts, filings, lines, replies, retrieval, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
