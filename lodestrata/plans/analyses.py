@@ -106,7 +106,7 @@ def question_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieve_for_questions(_chunks(spark, sf_dir).drop("k"), asked).select("question_id", "n", "section", "chunk_index")
 
 
-def rule_client():
+def rule_client(refuses: bool = True):
     """A model that scores by the revenue in its prompt and the name of the category, and refuses some calls for a moment."""
     import re
 
@@ -121,7 +121,7 @@ def rule_client():
             if "You rate one risk" not in prompt:
                 return "Revenues were $" + re.search(r"Total revenues \| 2025: (\d+)", prompt)[1] + " million [1] and 77,777 [9]."
             revenue, category = int(re.search(r"Total revenues \| 2025: (\d+)", prompt)[1]), re.search(r"from 1 to 10: (.*)\.", prompt)[1]
-            if revenue % 5 == 0 and (revenue, category) not in self.refused:
+            if refuses and revenue % 5 == 0 and (revenue, category) not in self.refused:
                 self.refused.add((revenue, category))
                 raise RateLimited("requests per minute", "0")
             score = (revenue + len(category)) % 12
@@ -134,7 +134,7 @@ def _limited(calls: int):
     def make():
         from lodestrata.operators.completion import RateLimited
 
-        ruled = rule_client()
+        ruled = rule_client(False)
 
         class Limited:
             n = 0
