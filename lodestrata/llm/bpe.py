@@ -8,8 +8,8 @@ first, so no text is merged anew. An append only extends the table; an edit reco
 byte until its entries fall in with the old ones.
 
 Defined results: a null text counts as empty (no ids, decoded to no bytes); repeated rows and extra
-columns pass through, but a column of an output's name gives way to it; pre-tokens of any length are
-encoded whole, and only short ones are remembered.
+columns pass through, but a column of an output's name gives way to it; texts and pre-tokens of any length are
+encoded whole, and only short ones are remembered; two tokens never have one rank, so that there are no ties; an empty table gives no rows.
 """
 
 from __future__ import annotations

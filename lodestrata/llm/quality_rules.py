@@ -11,7 +11,8 @@ length does not change; all windows count, and texts of up to one window are jud
 over longer distances is left to repeated_words, which compares the whole text.
 
 Defined results: a null text has no word (all measures 0, too_few_words set); a blank text likewise;
-repeated rows and extra columns pass through untouched; an empty table gives an empty ledger.
+repeated rows and extra columns pass through untouched; texts of any length are measured whole, in one row (about ten times
+their size in memory); a measurement that equals a rule's limit passes it; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ to count 1 whenever they are a whole pre-token. Counting is then a table lookup
 the other pre-tokens are merged (each counted once and remembered, up to a bound).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens). The special string counts 1 wherever
-it stands in a text, as the library's default has it, and parts the text there. Repeated rows, very
-long texts and extra columns need no special case.
+it stands in a text, as the library's default has it, and parts the text there. Texts are counted whole, at any length, with
+pre-tokens of any length (by a heap from 256 bytes on); repeated rows are counted each; equal ranks don't occur, so that there are no ties;
+columns of other names take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,13 +3,14 @@
 Queries and candidates are dealt into blocks by a hash; each pair of blocks is one matrix product in one
 task, which selects its k best per query at once, so that no more than k rows per query leave a pair. The
 lists of the blocks are then merged in a tree: a round joins the lists of FAN candidate blocks, until one
-list per query is left. A pair of blocks holds QUERY_BLOCK + CANDIDATE_BLOCK vectors at most on average,
+list per query is left; lists that one task has of several blocks are merged there before they are dealt out. A pair of blocks holds QUERY_BLOCK + CANDIDATE_BLOCK vectors at most on average,
 whatever the size of the tables.
 
-Defined results: null vectors and vectors with null, NaN or infinite components take no part; neither do
-candidates of another length than the query's. A repeated query row is asked once; repeated candidate
+Defined results: null vectors and vectors with null, NaN or infinite components take no part, nor do rows of null id; neither do
+candidates of another length than the query's. A repeated query row is asked once; an id with several vectors is as many
+queries, each with a list of its own under that id. Repeated candidate
 rows are candidates each, but a row with the query's own id never is. Ties go to the smaller id. Products
-beyond 64 bits saturate.
+beyond 64 bits saturate. Empty tables, and tables without a query, give no rows; vectors of any length are multiplied whole; columns of other names take no part.
 """
 
 from __future__ import annotations
@@ -65,26 +66,26 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _tile(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         if len(left) and len(right):
             widths = right["v"].map(len)
             for width, queries in left.groupby(left["q_v"].map(len)):
                 near = right[widths == width]
                 if not len(near):
                     continue
-                q_ids, c_ids = queries["q_id"].to_numpy(), near["id"].to_numpy()
+                q_ids, q_hashes, c_ids = queries["q_id"].to_numpy(), queries["q_h"].to_numpy(), near["id"].to_numpy()
                 c = np.array(near["v"].tolist(), dtype=np.float64).reshape(len(near), width)
                 for low in range(0, len(queries), 256):
                     q = np.array(queries["q_v"].iloc[low : low + 256].tolist(), dtype=np.float64).reshape(-1, width)
-                    for q_id, scores in zip(q_ids[low : low + 256], products(q, c), strict=True):
+                    for q_id, q_h, scores in zip(q_ids[low : low + 256], q_hashes[low : low + 256], products(q, c), strict=True):
                         if len(own := np.flatnonzero(c_ids == q_id)):
                             keep = np.delete(np.arange(len(c_ids)), own)
                             at = keep[best(scores[keep], c_ids[keep], k)]
                         else:
                             at = best(scores, c_ids, k)
-                        found += zip([q_id] * len(at), c_ids[at], scores[at], strict=True)
+                        found += zip([q_id] * len(at), [q_h] * len(at), c_ids[at], scores[at], strict=True)
         block = int(right["c"].iloc[0]) if len(right) else 0
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64").assign(c=block)
+        return pd.DataFrame(found, columns=["query_id", "q_h", "vec_id", "score"]).astype("int64").assign(c=block)
 
     return run
 
@@ -96,14 +97,14 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     q_blocks = max(math.ceil(n_queries / QUERY_BLOCK), 1)
     deal = lambda blocks: F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.dropDuplicates(["id", "v"]).select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), deal(q_blocks).alias("qq")).withColumn("qc", each(c_blocks))
+    left = queries.dropDuplicates(["id", "v"]).select(F.col("id").alias("q_id"), F.xxhash64("v").alias("q_h"), F.col("v").alias("q_v"), deal(q_blocks).alias("qq")).withColumn("qc", each(c_blocks))
     right = candidates.select("id", "v", deal(c_blocks).alias("c")).withColumn("q", each(q_blocks))
-    lists = left.groupBy("qc", "qq").cogroup(right.groupBy("c", "q")).applyInPandas(_tile(k), "query_id long, vec_id long, score long, c int")
+    lists = left.groupBy("qc", "qq").cogroup(right.groupBy("c", "q")).applyInPandas(_tile(k), "query_id long, q_h long, vec_id long, score long, c int")
     blocks = c_blocks
     while blocks > FAN:
         blocks = math.ceil(blocks / FAN)
-        lists = _merged(lists.withColumn("c", (F.col("c") / FAN).cast("int")), ["query_id", "c"], k).drop("rank")
-    return _merged(lists, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+        lists = _merged(lists.withColumn("c", (F.col("c") / FAN).cast("int")), ["query_id", "q_h", "c"], k).drop("rank")
+    return _merged(lists, ["query_id", "q_h"], k).select("query_id", "rank", "vec_id", "score")
 
 
 def _merged(lists: DataFrame, by: list[str], k: int) -> DataFrame:

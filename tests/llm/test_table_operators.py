@@ -432,7 +432,7 @@ def test_dedup_keeps_one_of_each(docs, rows):
 def slow_topk(rows):
     vectors = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in {(i, tuple(v)) for i, v in vectors if i % 50 == 0}:
+    for q, a in sorted({(i, tuple(v)) for i, v in vectors if i % 50 == 0}):
         scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in vectors if i != q and len(b) == len(a))
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
     return keyed(out)
@@ -456,6 +456,13 @@ def test_topk(spark, monkeypatch, blocks):
     assert keyed(tuple(r) for r in topk_search.op8(table).collect()) == slow_topk(rows)
 
 
+def test_an_id_with_two_vectors_is_two_queries(spark):
+    rows = vectors(120, 8) + [(50, [0.25, 0.5, -0.5, 1.0, 0.0, 0.75]), (100, [0.5] * 6), (100, [0.5] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = keyed(tuple(r) for r in topk_search.op8(table).collect())
+    assert got == slow_topk(rows) and sum(q == 50 for q, *_ in got) == 10
+
+
 def test_topk_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = [(0, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [-1.0, 1.0])]
