@@ -49,27 +49,37 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overall_scores(_scores(spark, sf_dir)).select("ticker", dashboard_status(F.col("overall"), F.col("scored"), F.col("categories")).alias("status"))
 
 
-#: case -> (reply, score, reason), n being the order's key.
+#: Replies of many forms, n being the order's key.
 _REPLIES = [
-    ("concat('SCORE: ', n % 10 + 1, '  ', chr(10), 'REASON: Strong cash of $', n, ' million.')", "n % 10 + 1", "concat('Strong cash of $', n, ' million.')"),
-    ("concat('**SCORE:** [', n % 10 + 1, ']', chr(10), '**REASON:** High litigation ', n)", "n % 10 + 1", "concat('High litigation ', n)"),
-    ("concat('score: ', n % 10 + 1, '/10', chr(10), 'reason:   x ', n, '   ')", "n % 10 + 1", "concat('x ', n)"),
-    ("concat('SCORE: ', n % 10 + 1, '.5', chr(10), 'REASON: x')", "NULL", "'Could not parse model response'"),
-    ("concat('SCORE: ', n + 11, chr(10), 'REASON: x')", "NULL", "'Could not parse model response'"),
-    ("concat('SCORE: insufficient', chr(10), 'REASON: only ', n)", "NULL", "concat('Insufficient information: only ', n)"),
-    ("concat('Overall the SCORE: 5 seems fair ', n)", "NULL", "'Could not parse model response'"),
-    ("concat('SCORE: ', n % 10 + 1)", "n % 10 + 1", "'No reason given'"),
-    ("'SCORE: INSUFFICIENT'", "NULL", "'Insufficient information: No reason given'"),
+    "concat('SCORE: ', n % 10 + 1, '  ', chr(10), 'REASON: Strong cash of $', n, ' million.')",
+    "concat('**SCORE:** [', n % 10 + 1, ']', chr(10), '**REASON:** High litigation ', n)",
+    "concat('score: ', n % 10 + 1, '/10', chr(10), 'reason:   x ', n, '   ')",
+    "concat('SCORE: ', n % 10 + 1, '.5', chr(10), 'REASON: x')",
+    "concat('SCORE: ', n + 11, chr(10), 'REASON: x')",
+    "concat('SCORE: insufficient', chr(10), 'REASON: only ', n)",
+    "concat('Overall the SCORE: 5 seems fair ', n)",
+    "concat('SCORE: ', n % 10 + 1)",
+    "'SCORE: INSUFFICIENT'",
 ]
 
 
-def _case(part: int) -> str:
-    return f"CASE n % {len(_REPLIES)} " + " ".join(f"WHEN {i} THEN {r[part]}" for i, r in enumerate(_REPLIES)) + " END"
+_REPLY = f"CASE n % {len(_REPLIES)} " + " ".join(f"WHEN {i} THEN {r}" for i, r in enumerate(_REPLIES)) + " END"
 
 
-@register("score_replies", f"SELECT n AS o_orderkey, CAST({_case(1)} AS INTEGER) AS score, {_case(2)} AS reason FROM (SELECT o_orderkey AS n FROM orders)")
+@register(
+    "score_replies",
+    f"""
+WITH r AS (SELECT n, replace({_REPLY}, '*', '') AS t FROM (SELECT o_orderkey AS n FROM orders)),
+m AS (
+  SELECT n, TRY_CAST(regexp_extract(t, '(?im)^\\s*SCORE\\s*:\\s*\\[?\\s*([0-9]+)', 1) AS INTEGER) AS s, regexp_matches(t, '(?im)^\\s*SCORE\\s*:\\s*\\[?\\s*[0-9]+\\.[0-9]') AS broken,
+    regexp_matches(t, '(?im)^\\s*SCORE\\s*:\\s*\\[?\\s*INSUFFICIENT\\b') AS lacking,
+    CASE WHEN regexp_matches(t, '(?im)^\\s*REASON\\s*:\\s*.') THEN trim(regexp_extract(t, '(?im)^\\s*REASON\\s*:\\s*(.+)$', 1)) ELSE 'No reason given' END AS why FROM r)
+SELECT n AS o_orderkey, CASE WHEN NOT lacking AND NOT broken AND s BETWEEN 1 AND 10 THEN s END AS score,
+  CASE WHEN lacking THEN concat('Insufficient information: ', why) WHEN NOT broken AND s BETWEEN 1 AND 10 THEN why ELSE 'Could not parse model response' END AS reason FROM m
+""",
+)
 def score_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).select("n", parse_reply(F.expr(_case(0).replace("chr(10)", "'\\n'"))).alias("r"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).select("n", parse_reply(F.expr(_REPLY.replace("chr(10)", "'\\n'"))).alias("r"))
     return rows.select(F.col("n").alias("o_orderkey"), "r.score", "r.reason")
 
 
