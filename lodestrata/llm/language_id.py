@@ -43,7 +43,9 @@ TRAIN_CHARS, ALL_CHARS = 1_000_000, 16_000_000
 REJECTED, LEAST_CALIBRATED = 0.01, 20
 UNKNOWN = "und"
 #: Numbers (words times languages) that a worker remembers, and works out at once.
-SCORES_HELD, SCORES_AT_ONCE = 800_000, 80_000
+SCORES_HELD, SCORES_AT_ONCE = 2_000_000, 80_000
+#: Most languages for which what an n-gram scores in a language that hasn't seen it is worked out beforehand as well.
+FILLED_LANGS = 8
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _letters = regex.compile(r"\p{L}+").findall
@@ -118,28 +120,65 @@ class Model:
         self.grams = [None, *(Rows([m[k][0] for m in made]) for k in range(order))]
         self.contexts = [None, *(Rows([m[k][1] for m in made]) for k in range(order))]
         self.floor = np.float32(np.log2(uniform))
+        self.filled = self._filled(list(codes.values())) if 0 < len(self.langs) <= FILLED_LANGS else None
+
+    def _filled(self, coded: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple]:
+        """For each order, the sorted n-grams of all languages with what each scores in each language, and the sorted contexts with their
+        weights: what score_words() would find, so that most characters need one search."""
+        codes, place = np.concatenate([c[0] for c in coded]), np.concatenate([c[1] for c in coded])
+        h, out = _hashes(codes, self.order), [()]
+        for k in range(1, self.order + 1):
+            ok = np.flatnonzero(place >= max(1, k - 1))
+            keys, first = np.unique(h[k][ok], return_index=True)
+            ends = ok[first]
+            scores = self._scores([x[ends] for x in h], [x[ends - 1] for x in h], np.minimum(place[ends], k - 1), k)
+            contexts = self.contexts[k]
+            weights = np.zeros((len(contexts.keys), len(self.langs)), np.float32)
+            weights[np.repeat(np.arange(len(contexts.keys)), np.diff(contexts.starts)), contexts.langs] = contexts.values
+            out.append((keys, scores, contexts.keys, weights))
+        return out
 
-    def score_words(self, texts: list[str]) -> np.ndarray:
-        """The log2 chance of each word (its end mark included) by each language."""
-        codes, place, word = _codes(texts)
-        h = _hashes(codes, self.order)
-        total = np.zeros((len(codes), len(self.langs)), np.float32)
-        open_ = np.repeat((place >= 1)[:, None], len(self.langs), axis=1)
-        for k in range(self.order, 0, -1):
-            mine = np.flatnonzero((place >= max(1, k - 1)) & open_.any(axis=1))
+    def _scores(self, h: list[np.ndarray], before: list[np.ndarray], place: np.ndarray, order: int) -> np.ndarray:
+        """The log2 chance of each character by each language; h, before: hashes of the n-grams that end at it and before it."""
+        total = np.zeros((len(place), len(self.langs)), np.float32)
+        open_ = np.ones(total.shape, bool)
+        for k in range(order, 0, -1):
+            mine = np.flatnonzero((place >= k - 1) & open_.any(axis=1))
             at, lang, value = self.grams[k].look_up(h[k][mine])
             at = mine[at]
             fits = open_[at, lang]
             total[at[fits], lang[fits]] += value[fits]
             open_[at[fits], lang[fits]] = False
-            at, lang, value = self.contexts[k].look_up(h[k - 1][mine - 1] if k > 1 else np.zeros(len(mine), np.uint64))
+            at, lang, value = self.contexts[k].look_up(before[k - 1][mine] if k > 1 else np.zeros(len(mine), np.uint64))
             at = mine[at]
             missed = open_[at, lang]
             total[at[missed], lang[missed]] += value[missed]
-        total += np.where(open_, self.floor, np.float32(0))
+        return total + np.where(open_, self.floor, np.float32(0))
+
+    def _filled_scores(self, h: list[np.ndarray], before: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+        total, todo = np.zeros((len(place), len(self.langs)), np.float32), np.arange(len(place))
+        for k in range(self.order, 0, -1):
+            keys, scores, context_keys, weights = self.filled[k]
+            short = place[todo] < k - 1
+            mine = todo[~short]
+            found, i = _find(keys, h[k][mine])
+            total[mine[found]] += scores[i[found]]
+            missed = mine[~found]
+            known, j = _find(context_keys, before[k - 1][missed] if k > 1 else np.zeros(len(missed), np.uint64))
+            total[missed[known]] += weights[j[known]]
+            todo = np.concatenate([missed, todo[short]])
+        total[todo] += self.floor
+        return total
+
+    def score_words(self, texts: list[str]) -> np.ndarray:
+        """The log2 chance of each word (its end mark included) by each language."""
+        codes, place, word = _codes(texts)
+        h, ends = _hashes(codes, self.order), np.flatnonzero(place >= 1)
+        at, before = [x[ends] for x in h], [x[ends - 1] for x in h]
+        total = self._scores(at, before, place[ends], self.order) if self.filled is None else self._filled_scores(at, before, place[ends])
         out = np.zeros((len(texts), len(self.langs)))
         for lang in range(len(self.langs)):
-            out[:, lang] = np.bincount(word, weights=total[:, lang], minlength=len(texts))
+            out[:, lang] = np.bincount(word[ends], weights=total[:, lang], minlength=len(texts))
         return out
 
 

@@ -173,7 +173,9 @@ class SlowKneserNey:
 WORD_COUNTS = {"x": {"abab": 3, "ba": 2, "caab": 1, "aabbaabb": 1}, "y": {"cc": 4, "cab": 1, "bcbcb": 2}, "z": {"é": 1}}
 
 
-def test_models_match_a_slow_kneser_ney():
+@pytest.mark.parametrize("filled", [16, 0])
+def test_models_match_a_slow_kneser_ney(monkeypatch, filled):
+    monkeypatch.setattr(language_id, "FILLED_LANGS", filled)
     model = language_id.Model(WORD_COUNTS)
     alphabet = set("abcé\x02")
     slow = [SlowKneserNey(WORD_COUNTS[lang], alphabet) for lang in model.langs]
