@@ -65,7 +65,7 @@ FILES = ("prose", "code", "env", "code_env")
 #: From how many characters on a token is long.
 LONG = 14
 #: Tokens, and characters of tokens, that a worker remembers; characters of the texts looked at together.
-TOKENS_HELD, CHARS_HELD, BLOCK_CHARS, TOKENS_AT_ONCE = 400_000, 8_000_000, 400_000, 50_000
+TOKENS_HELD, CHARS_HELD, BLOCK_CHARS, TOKENS_AT_ONCE = 700_000, 12_000_000, 400_000, 50_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -292,21 +292,23 @@ class Field:
         self.shapes, self.kinds, self.coarse = np.zeros((0, 2)), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
 
     def _core(self, core: str) -> tuple[float, float, int, int]:
-        known = self.cores.get(core)
-        if known is not None:
-            return known
-        # Short words differ in few features, and are most of what is new.
-        alike = (len(core), mix := mix_of(core), class_of(core, mix), _consonants(core)) if len(core) < LONG and core.isalpha() else None
-        known = self.alike.get(alike) if alike and mix in ("lower", "title") else None
-        if known is None:
-            names, coarse, kind = core_features(core)
-            w = [x for x in map(self.weights.get, names) if x]
-            known = (sum(x[0] for x in w), sum(x[1] for x in w), _COARSE_AT[coarse], _CLASS_AT[kind])
-            if alike and mix in ("lower", "title"):
-                self.alike[alike] = known
-        self.cores[core] = known
+        if len(core) < LONG and core.isalpha() and (mix := mix_of(core)) in ("lower", "title"):
+            # Short words differ in few features, and are most of what is new: they are told apart by these alone.
+            alike = (len(core), mix, class_of(core, mix), _consonants(core))
+            known = self.alike.get(alike)
+            if known is None:
+                known = self.alike[alike] = self._scored(core)
+        else:
+            known = self.cores.get(core)
+            if known is None:
+                known = self.cores[core] = self._scored(core)
         return known
 
+    def _scored(self, core: str) -> tuple[float, float, int, int]:
+        names, coarse, kind = core_features(core)
+        w = [x for x in map(self.weights.get, names) if x]
+        return sum(x[0] for x in w), sum(x[1] for x in w), _COARSE_AT[coarse], _CLASS_AT[kind]
+
     def learn(self, tokens: list[str]) -> np.ndarray:
         """Each token's place in the tables of what is known of tokens."""
         new = list(set(tokens).difference(self.index))
