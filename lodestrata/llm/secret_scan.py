@@ -131,7 +131,7 @@ def sign_kind(s: str) -> str:
 
 
 _LINKED_WORDS = {w: f"link:{w}" for w in LINKS}
-_NAME_IN = re.compile("|".join(sorted({*HINTS, *SAFE}, key=len)), re.IGNORECASE | re.ASCII).search
+_NAMES = re.compile("|".join(sorted({*HINTS, *SAFE}, key=len)), re.IGNORECASE | re.ASCII)
 
 
 def _named(s: str, names: tuple[str, ...]) -> str:
@@ -164,7 +164,7 @@ def class_of(core: str, mix: str) -> str:
         return f"sign:{sign_kind(core)}"
     if link := _LINKED_WORDS.get(core.lower()):
         return link
-    if _NAME_IN(core):
+    if _NAMES.search(core):
         if hint := _named(core, HINTS):
             return f"hint:{hint}"
         if _named(core, SAFE):
@@ -183,7 +183,8 @@ class _Kinds(dict):
 
 _KINDS = _Kinds()
 _VOWELS = re.compile("[aeiouyäöüéèêàóíáúñ]", re.IGNORECASE)
-_VOWELLESS = re.compile("[b-df-hj-np-tv-xz]+", re.IGNORECASE)
+_VOWELLESS = re.compile("[b-df-hj-np-tv-xz]+", re.IGNORECASE | re.ASCII)
+_IS_CONSONANT = np.array([bool(_VOWELLESS.match(chr(c))) for c in range(128)] + [False])
 _MARKS = re.compile(r"[!#$%^*~\\]")
 
 
@@ -292,18 +293,35 @@ class Field:
         self.shapes, self.kinds, self.coarse = np.zeros((0, 2)), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
 
     def _core(self, core: str) -> tuple[float, float, int, int]:
-        if len(core) < LONG and core.isalpha() and (mix := mix_of(core)) in ("lower", "title"):
-            # Short words differ in few features, and are most of what is new: they are told apart by these alone.
-            alike = (len(core), mix, class_of(core, mix), _consonants(core))
-            known = self.alike.get(alike)
-            if known is None:
-                known = self.alike[alike] = self._scored(core)
-        else:
-            known = self.cores.get(core)
-            if known is None:
-                known = self.cores[core] = self._scored(core)
+        known = self.cores.get(core)
+        if known is None:
+            known = self.cores[core] = self._scored(core)
         return known
 
+    def _short_words(self, words: list[str]) -> np.ndarray:
+        """What _scored() gives for each of some short natural words. Those without a name in them and that are no links differ in
+        three features alone, and are looked at side by side; they are most of what is new."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        text = "\n".join(words)
+        codes = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 128)
+        place = np.arange(len(codes))
+        run = place - np.maximum.accumulate(np.where(_IS_CONSONANT[codes], -1, place))
+        consonants = np.minimum(np.maximum.reduceat(run, starts), 8)
+        title = np.fromiter((w[0].isupper() for w in words), np.int64, len(words))
+        alone = np.fromiter((w.lower() in _LINKED_WORDS for w in words), bool, len(words))
+        alone[[int(np.searchsorted(starts, m.start(), side="right")) - 1 for m in _NAMES.finditer(text)]] = True
+        kinds, first, of = np.unique((sizes * 2 + title) * 16 + consonants + np.where(alone, (np.arange(len(words)) + 1) << 20, 0), return_index=True, return_inverse=True)
+        table = []
+        for kind, i in zip(kinds.tolist(), first.tolist(), strict=True):
+            known = self.alike.get(kind)
+            if known is None:
+                known = self._scored(words[i])
+                if kind < 1 << 20:
+                    self.alike[kind] = known
+            table.append(known)
+        return np.array(table)[of]
+
     def _scored(self, core: str) -> tuple[float, float, int, int]:
         names, coarse, kind = core_features(core)
         w = [x for x in map(self.weights.get, names) if x]
@@ -316,8 +334,13 @@ class Field:
             self.forget()
             new = list(set(tokens))
         if new:
-            made = [self._core(core_of(t)) for t in new]
-            table = np.array(made)
+            cores = list(map(core_of, new))
+            short = np.fromiter((len(c) < LONG and c.isalpha() and c[1:] == c[1:].lower() for c in cores), bool, len(cores))
+            table = np.zeros((len(new), 4))
+            if short.any():
+                table[short] = self._short_words([c for c, is_short in zip(cores, short.tolist(), strict=True) if is_short])
+            if not short.all():
+                table[~short] = [self._core(c) for c, is_short in zip(cores, short.tolist(), strict=True) if not is_short]
             lead = np.array([self.weights.get(f"lead:{x}", (0.0, 0.0)) for x in LEADS])[[_LEAD_AT[t[0]] for t in new]]
             self.shapes = np.concatenate([self.shapes, table[:, :2] + lead])
             self.coarse = np.concatenate([self.coarse, table[:, 2].astype(np.uint8)])
