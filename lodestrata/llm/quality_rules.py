@@ -207,3 +207,12 @@ def op2(docs: DataFrame) -> DataFrame:
     book = apply_policy(ledger(docs), RECORDED)
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE).cast("long")) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+
+
+ABLATIONS_SQL = f"""
+WITH b AS (SELECT fail_bits AS f FROM ({OP2_SQL}) AS x),
+u(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BIT.items())}),
+t AS (SELECT count(*) FILTER (f <> 0) AS rejected, bit_or(f) AS any_bits FROM b)
+SELECT '{RECORDED}' AS policy, rule, count(*) FILTER ((f & bit) <> 0) AS failed, count(*) FILTER (f = bit) AS only_rule, any_value(rejected) AS rejected, any_value(any_bits) AS any_bits
+FROM u CROSS JOIN t LEFT JOIN b ON true GROUP BY rule, bit
+"""

@@ -19,6 +19,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op2's policy fails, and what only it rejects."""
+    book = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.ablations(quality_rules.apply_policy(book, quality_rules.RECORDED), quality_rules.RECORDED)
+
+
 def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3(table(spark, sf_dir, "documents"))
 
@@ -52,8 +58,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney_language_id, op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op6_crf_secret_scan, op7_token_counts, op8_topk_search, op9_license_scan, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_kneser_ney_language_id, op2_quality_rules, op3_pivotal_mixing, op4_lpt_sharding, op5_simhash_near_duplicates, op6_crf_secret_scan, op7_token_counts, op8_topk_search, op9_license_scan, op10_bpe_round_trip, quality_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op8_topk_search": topk_search.OP8_SQL, "op9_license_scan": license_scan.OP9_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op8_topk_search": topk_search.OP8_SQL, "op9_license_scan": license_scan.OP9_SQL, "quality_ablations": quality_rules.ABLATIONS_SQL}
