@@ -7,10 +7,10 @@ their five-word shingles, even at the least containment, and each of BANDS one-r
 that chance: all of them miss with a chance below 0.75 ** 64, about 1e-8. Windows that agree in a band are verified once,
 by the exact share of the template's shingles that they contain.
 
-Only windows that can match are hashed, by conditions that no text with a match fails. Short templates: one of the
-template's anchors is in the window, words whose absence alone would spoil too many shingles. Templates with more than MOST_ANCHORS of
-these: the text is as long as the shingles needed are, and the text and the window have as many of the template's
-longer words as the shingles needed must hold.
+Only windows that can match are hashed, by conditions that no text with a match fails: the window has as many of the template's
+longer words as the shingles needed must hold, and one of the template's anchors is in it, words whose absence alone would spoil too
+many shingles. For templates with more than MOST_ANCHORS of these the text is held against both, and against the length of the shingles needed,
+before it is cut into windows.
 
 Built-in expressions only; the joins are with the bands and the shingles of the templates, which are broadcast up to
 a stated number of them. Defined results: texts without a match (null and blank ones too) have no row; a license found in
@@ -174,7 +174,9 @@ def _with_width(width: int, starts: Column) -> Column:
 
 
 def _has_long_words(ws: Column, templates: list[str]) -> Column:
-    return reduce(Column.__or__, [F.size(F.array_intersect(ws, _words_in(long_words(t)[0]))) >= long_words(t)[1] for t in templates])
+    """Whether the words are enough for one of the templates, and as many of its longer words as it takes are among them."""
+    enough = lambda t: F.size(ws) >= len(shingles(t)) - spare(t) + SHINGLE - 1
+    return reduce(Column.__or__, [enough(t) & (F.size(F.array_intersect(ws, _words_in(long_words(t)[0]))) >= long_words(t)[1]) for t in templates])
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,12 +186,10 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, key: str =
     table = template_table(spark, templates)
     anchored = [t for t in templates.values() if len(anchors(t)) <= MOST_ANCHORS]
     counted = [t for t in templates.values() if len(anchors(t)) > MOST_ANCHORS]
-    seeds = sorted(frozenset().union(*map(anchors, anchored)))
-    possible = F.lit(False)
-    if counted:
-        possible = possible | (F.length(F.col(text)) >= min(map(least_chars, counted)))
-    if anchored:
-        possible = possible | F.col(text).rlike(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(seeds) + r")(?![A-Za-z0-9])")
+    has = lambda found: F.col(text).rlike(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(found)) + r")(?![A-Za-z0-9])")
+    possible = has(frozenset().union(*map(anchors, anchored))) if anchored else F.lit(False)
+    for t in counted:
+        possible = possible | ((F.length(F.col(text)) >= least_chars(t)) & has(anchors(t)))
     rows = docs.select(F.col(key), F.col(text)).filter(possible).select(key, F.inline(F.array(F.struct(_word_array(F.col(text)).alias("ws"))))).filter(F.size("ws") >= SHINGLE)
 
     starts = []
@@ -204,10 +204,8 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, key: str =
         return docs.select(key, F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows")).limit(0)
     cut = F.array_distinct(F.concat(*[_with_width(width, s) for width, s in starts]))
     windows = rows.select(key, "ws", F.inline(cut)).select(key, "width", "start", F.inline(F.array(F.struct(F.slice(F.col("ws"), F.col("start") + 1, F.col("width")).alias("w")))))
-    anchored_widths = set(by_width(anchored))
-    for width, of in gates.items():
-        if width not in anchored_widths:
-            windows = windows.filter((F.col("width") != width) | _has_long_words(F.col("w"), of))
+    for width, of in by_width(list(templates.values())).items():
+        windows = windows.filter((F.col("width") != width) | _has_long_words(F.col("w"), of))
     hashed = windows.select(key, "width", "start", F.inline(F.array(F.struct(_shingle_texts(F.col("w")).alias("found"))))).filter(F.size("found") > 0)
     banded = hashed.select(key, "width", "start", "found", F.inline(F.array(F.struct(_minhashes(F.transform(F.col("found"), lambda s: F.xxhash64(s))).alias("mins")))))
     each = banded.select(key, "width", "start", "found", "mins", F.posexplode("mins").alias("band", "value"))
