@@ -35,10 +35,10 @@ def run_llm_metrics(chunks: DataFrame, pins: DataFrame, client: Callable[[], Cli
     return answers, scores, scores.groupBy("ticker").agg(missing.alias("categories"))
 
 
-def score_risk(chunks: DataFrame, pins: DataFrame, client: Callable[[], Client], make: Callable[[], Embedder] = HashingEmbedder) -> tuple[DataFrame, str | None]:
+def score_risk(chunks: DataFrame, pins: DataFrame, client: Callable[[], Client], make: Callable[[], Embedder] = HashingEmbedder, replies: str | None = None) -> tuple[DataFrame, str | None]:
     """The scores that there are, and why the others are missing (None if none is): a quota that is used up ends the
-    calls, and what was answered before stays."""
-    scores = cut_lineage(score_categories(chunks, pins, query_vectors(chunks.sparkSession, make), client))
+    calls, and what was answered before stays; with a path for replies, for the next run too."""
+    scores = cut_lineage(score_categories(chunks, pins, query_vectors(chunks.sparkSession, make), client, replies))
     reason = scores.agg(F.max("stopped")).first()[0]
     return scores.filter("stopped IS NULL").drop("stopped"), reason
 

@@ -17,7 +17,7 @@ from lodestrata.functions.labels import numbered_context
 from lodestrata.functions.replies import parse_reply
 from lodestrata.functions.rubric import overall_score, risk_level
 from lodestrata.operators.answers import gathered, marked_passages
-from lodestrata.operators.completion import Client, complete
+from lodestrata.operators.completion import Client, complete, complete_kept
 from lodestrata.operators.embedding import Embedder, HashingEmbedder
 from lodestrata.operators.prompts import score_prompt, summary_prompt
 from lodestrata.operators.retrieval import CHUNK_KEY, balance_sheet_passages, category_chunks, item_7a_sources, read_from, scale_passages, search, section_quotas
@@ -50,11 +50,16 @@ def category_prompts(chunks: DataFrame, pins: DataFrame, vectors: DataFrame) ->
     return each.join(prompted, by, "left").join(read_from(found, by), by, "left")
 
 
-def score_categories(chunks: DataFrame, pins: DataFrame, vectors: DataFrame, client: Callable[[], Client]) -> DataFrame:
+def score_categories(chunks: DataFrame, pins: DataFrame, vectors: DataFrame, client: Callable[[], Client], replies: str | None = None) -> DataFrame:
     """ticker, cat_ord, category, score, reason, read_from, passages, check, stopped. Categories without text
-    are not sent to the model; replies are written before anything is worked out from them."""
+    are not sent to the model; replies are written before anything is worked out from them. With a path for replies they are kept
+    there by step, and what has been answered for the same prompt is not asked again."""
     asked = category_prompts(chunks, pins, vectors)
-    replied = cut_lineage(complete(asked, client, SCORE_MAX_TOKENS))
+    if replies is None:
+        replied = cut_lineage(complete(asked, client, SCORE_MAX_TOKENS))
+    else:
+        asked = cut_lineage(asked.withColumn("_asked", F.sha2(F.concat_ws("\x1f", "ticker", "category", "prompt"), 256)))
+        replied = cut_lineage(complete_kept(asked, "_asked", replies, client, SCORE_MAX_TOKENS)).drop("_asked")
     parsed = replied.withColumn("_r", parse_reply(F.col("reply")))
     there = F.col("prompt").isNotNull() & F.col("stopped").isNull()
     reason = F.when(F.col("prompt").isNull(), NO_TEXT_REASON).when(there, F.col("_r.reason"))

@@ -52,11 +52,19 @@ def test_llm_metrics(built):  # noqa: F811
     assert scores.count() == 12 and {r["ticker"]: r["categories"] for r in missing.collect()} == {"ACME": ["Legal Risk"], "ZED": ["Legal Risk"]}
 
 
-def test_scores_stay_where_the_quota_ends(built):  # noqa: F811
+def test_scores_stay_where_the_quota_ends(built, tmp_path):  # noqa: F811
     scores, reason = flows.score_risk(built["chunks"], built["pins"], partial(limited, 5))
     assert scores.count() == 5 and "daily quota exhausted" in reason
     scores, reason = flows.score_risk(built["chunks"], built["pins"], fake_client)
     assert scores.count() == 12 and reason is None
+    path = str(tmp_path / "replies")
+    scores, reason = flows.score_risk(built["chunks"], built["pins"], partial(limited, 1), replies=path)
+    first = scores.count()
+    assert 1 <= first < 12 and "daily quota exhausted" in reason
+    again, reason = flows.score_risk(built["chunks"], built["pins"], fake_client, replies=path)
+    assert again.count() == 12 and reason is None
+    never, reason = flows.score_risk(built["chunks"], built["pins"], partial(limited, 0), replies=path)
+    assert never.count() == 12 and reason is None
 
 
 def test_a_refused_run_keeps_the_former_result(spark, built, tmp_path):  # noqa: F811
