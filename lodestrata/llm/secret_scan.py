@@ -65,7 +65,7 @@ FILES = ("prose", "code", "env", "code_env")
 #: From how many characters on a token is long.
 LONG = 14
 #: Tokens, and characters of tokens, that a worker remembers; characters of the texts looked at together.
-TOKENS_HELD, CHARS_HELD, BLOCK_CHARS, TOKENS_AT_ONCE = 700_000, 12_000_000, 400_000, 50_000
+TOKENS_HELD, CHARS_HELD, BLOCK_CHARS, TOKENS_AT_ONCE = 200_000, 4_000_000, 400_000, 50_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -823,6 +823,7 @@ def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars")
                     sizes = [s if a == b else len(b) for s, a, b in zip(part.column(size_at).to_pylist(), old, new, strict=True)]
                     columns[size_at] = pa.array(sizes, part.schema.field(size_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        field.forget()  # the worker goes on to other work of a pipeline
 
     return docs.mapInArrow(run, schema)
 
