@@ -64,8 +64,11 @@ FILES = ("prose", "code", "env", "code_env")
 
 #: From how many characters on a token is long.
 LONG = 14
-#: Tokens, and characters of tokens, that a worker remembers; characters of the texts looked at together.
-TOKENS_HELD, CHARS_HELD, BLOCK_CHARS, TOKENS_AT_ONCE = 200_000, 4_000_000, 400_000, 50_000
+#: Tokens, and characters of tokens, that a worker remembers (in scan(), and in redacted(), whose workers go on to other
+#: work of a pipeline); characters of the texts looked at together, and tokens looked up together.
+TOKENS_HELD, CHARS_HELD = 700_000, 12_000_000
+TOKENS_BESIDE, CHARS_BESIDE = 200_000, 4_000_000
+BLOCK_CHARS, TOKENS_AT_ONCE = 400_000, 50_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -285,6 +288,7 @@ class Field:
         self.states = np.array([w(f"before:{s}/{c}") for s in STATES for c in COARSE])
         self.files = np.array([w(f"text:{f}/{c}") for f in FILES for c in COARSE])
         m = self.moves
+        self.most = (TOKENS_HELD, CHARS_HELD)
         self.reach = np.array([max(m[0, 1], m[1, 1], m[2, 1]), max(m[1, 2], m[2, 2])]) + max(0.0, m[1, 0], m[2, 0])
         self.forget()
 
@@ -330,7 +334,7 @@ class Field:
     def learn(self, tokens: list[str]) -> np.ndarray:
         """Each token's place in the tables of what is known of tokens."""
         new = list(set(tokens).difference(self.index))
-        if len(self.index) + len(new) > TOKENS_HELD or self.chars > CHARS_HELD:
+        if len(self.index) + len(new) > self.most[0] or self.chars > self.most[1]:
             self.forget()
             new = list(set(tokens))
         if new:
@@ -792,6 +796,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = trained()
+        field.most = (TOKENS_HELD, CHARS_HELD)
         for batch in batches:
             for part, texts in _parts(batch, 1):
                 rows = []
@@ -814,6 +819,7 @@ def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = trained()
+        field.most = (TOKENS_BESIDE, CHARS_BESIDE)
         for batch in batches:
             for part, old in _parts(batch, at):
                 new = [redacted_text(t, found) if t else t for t, (_, found) in zip(old, spans(old, field), strict=True)]
@@ -823,7 +829,7 @@ def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars")
                     sizes = [s if a == b else len(b) for s, a, b in zip(part.column(size_at).to_pylist(), old, new, strict=True)]
                     columns[size_at] = pa.array(sizes, part.schema.field(size_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
-        field.forget()  # the worker goes on to other work of a pipeline
+        field.forget()
 
     return docs.mapInArrow(run, schema)
 
