@@ -103,3 +103,14 @@ def read_filings(spark: SparkSession, root: str) -> DataFrame:
     """accession, html of the cached documents <root>/<ticker>/<accession>/<document>, in any store Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(F.element_at(F.split("path", "/"), -2).alias("accession"), F.col("content").alias("html"))
+
+
+def write_packed(filings: DataFrame, root: str) -> None:
+    """Filings (ticker, accession, html) packed as Parquet, as many files as tasks: a file a document costs more than its reading
+    where documents are many."""
+    filings.select("ticker", "accession", F.col("html").cast("binary").alias("html")).write.parquet(root)
+
+
+def read_packed(spark: SparkSession, root: str) -> DataFrame:
+    """accession, html of packed filings."""
+    return spark.read.parquet(root).select("accession", "html")
