@@ -1,9 +1,10 @@
-"""How many files, rows and bytes the steps of queries take as their tables grow."""
+"""What large tables bring: how many files, rows and bytes the steps of queries take, and keys that small tables don't have."""
 
 from pathlib import Path
 
 import pytest
 
+from lodestrata.operators.html_parser import parse_lines
 from lodestrata.plans import documents
 from lodestrata.sources import archive, reports
 
@@ -38,3 +39,30 @@ def test_packed_filings_are_what_was_packed(spark, tmp_path):
     rows = spark.createDataFrame([("A", "a-1", "<p>ä</p>"), ("2025", "a-2", None)], "ticker string, accession string, html string")
     archive.write_packed(rows, str(tmp_path / "p"))
     assert sorted(map(tuple, archive.read_packed(spark, str(tmp_path / "p")).collect())) == [("a-1", bytearray("<p>ä</p>".encode())), ("a-2", None)]
+
+
+def laid_out(*rows):
+    html = "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows)
+    return [t for t, _ in parse_lines(f"<table>{html}</table>")]
+
+
+def test_figures_that_look_like_years():
+    assert laid_out(("", "2025"), ("Total revenues", "2025"), ("Net income", "1990")) == ["2025", "Total revenues | 2025: 2025", "Net income | 2025: 1990"]
+    assert laid_out(("", "2025", "2024"), ("Stores", "1990", "2001"), ("Sales", "12", "13"))[1:] == ["Stores | 2025: 1990 | 2024: 2001", "Sales | 2025: 12 | 2024: 13"]
+
+
+def test_headings_of_years_stay_headings():
+    again = laid_out(("December 31,", "2025"), ("Assets", "12"), ("December 31,", "2024"), ("Assets", "11"))
+    assert again == ["December 31, | 2025", "Assets | 2025: 12", "December 31, | 2024", "Assets | 2024: 11"]
+    assert laid_out(("", "2025", "2024"), ("Sales", "5", "6"), ("Debts", "2025", "2024"), ("Notes", "7", "8"))[2:] == ["Debts | 2025 | 2024", "Notes | 2025: 7 | 2024: 8"]
+
+
+@pytest.mark.parametrize("name", ["filing_chunks", "ingest_counts"])
+def test_filings_whose_amounts_are_years(spark, tmp_path, name):
+    from lodestrata.plans import registry
+
+    spark.range(1925, 1927).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r["ticker"] for r in found} == {"S1925", "S1926"}
+    if name == "filing_chunks":
+        assert any(r["text"].endswith("Total revenues | 2025: 2025\nOperating income | 2025: 1935\nNet income | 2025: 1926") for r in found)
