@@ -6,7 +6,7 @@ import pytest
 
 from lodestrata.operators.html_parser import parse_lines
 from lodestrata.plans import documents
-from lodestrata.sources import archive, reports
+from lodestrata.sources import archive, reports, store
 
 
 def parts(root) -> list[Path]:
@@ -66,3 +66,11 @@ def test_filings_whose_amounts_are_years(spark, tmp_path, name):
     assert {r["ticker"] for r in found} == {"S1925", "S1926"}
     if name == "filing_chunks":
         assert any(r["text"].endswith("Total revenues | 2025: 2025\nOperating income | 2025: 1935\nNet income | 2025: 1926") for r in found)
+
+
+def test_the_store_is_a_file_a_task(spark, tmp_path):
+    rows = spark.range(40).selectExpr("CAST(id AS STRING) AS ticker", "concat('Text ', id) AS text").repartition(2)
+    store.write_chunks(rows, str(tmp_path / "c"))
+    back = store.read_chunks(spark, str(tmp_path / "c"))
+    assert len(parts(tmp_path / "c")) == 2 and dict(back.dtypes)["ticker"] == "string"
+    assert [r["text"] for r in store.lookup(back, {"ticker": "7"}).collect()] == ["Text 7"]
