@@ -21,23 +21,31 @@ def scope_lines(lines: DataFrame, facts: DataFrame, key: str = "ticker") -> Data
     return met.filter(F.col("_statement").isNull() | (F.col("_statement") == F.col("statement"))).select(key, "id", "text")
 
 
-def quote_lines(lines: DataFrame, facts: DataFrame, key: str = "ticker") -> DataFrame:
-    """key, id, n_lines: on how many distinct lines of its scope each quote stands. Only lines with the quote's rarest
-    inner word are looked at, see passages.holding(); the statement is held against the lines that were found."""
+def _counted(lines: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """facts with n_lines: on how many distinct lines of its scope each quote stands. Only lines with the quote's rarest inner
+    word are looked at, see passages.holding(), and each distinct quote of a scope once, however many facts have it; the
+    statement is held against the lines that were found."""
     scope, line = [key, "section"], F.xxhash64("statement", "text").alias("_line")
+    asked = [*scope, "quote", "_named", "_statement"]
+    placed = facts.withColumns({"_named": F.col("statement").isNotNull(), "_statement": F.coalesce("statement", F.lit(""))})
+    wanted = placed.select(*asked).distinct()
     distinct = lines.select(*scope, "statement", "text", line).distinct()
-    wanted = facts.select(*scope, "id", F.col("statement").alias("_statement"), F.col("quote").alias("_p"))
-    met = holding(distinct.withColumnRenamed("text", "_t"), wanted, "_line", "id", scope)
-    placed = met.join(distinct.select(*scope, "_line", "statement", "text"), [*scope, "_line"]).join(wanted.drop("_p"), [*scope, "id"])
-    found = placed.filter(F.col("_statement").isNull() | (F.col("_statement") == F.col("statement")))
-    counted = found.groupBy(key, "id").agg(F.count_distinct("text").alias("n_lines"))
-    return facts.select(key, "id").join(counted, [key, "id"], "left").select(key, "id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    quotes = wanted.select(*scope, "quote", F.col("quote").alias("_p")).distinct()
+    met = holding(distinct.withColumnRenamed("text", "_t"), quotes, "_line", "quote", scope, short=True)
+    found = met.join(distinct, [*scope, "_line"]).join(wanted, [*scope, "quote"]).filter(~F.col("_named") | (F.col("_statement") == F.col("statement")))
+    counted = found.groupBy(*asked).agg(F.count_distinct("text").alias("n_lines"))
+    return placed.join(counted, asked, "left").drop("_named", "_statement").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+
+
+def quote_lines(lines: DataFrame, facts: DataFrame, key: str = "ticker") -> DataFrame:
+    """key, id, n_lines: on how many distinct lines of its scope each quote stands."""
+    return _counted(lines, facts, key).select(key, "id", "n_lines")
 
 
 def fact_problems(lines: DataFrame, facts: DataFrame, key: str = "ticker") -> DataFrame:
     """key, id, problem: quotes that are not on just one line, and values that are not in their quotes."""
     where = F.concat_ws(" ", F.concat(F.lit("Item "), "section"), "statement")
-    checked = quote_lines(lines, facts, key).join(facts.select(key, "id", "quote", "value", where.alias("_where")), [key, "id"])
+    checked = _counted(lines, facts, key).withColumn("_where", where)
     problem = F.when(F.col("n_lines") != 1, F.concat(F.lit("quote found on "), F.col("n_lines").cast("string"), F.lit(" distinct lines of "), "_where")).when(
         F.col("value").isNotNull() & ~F.contains("quote", F.col("value")), F.concat(F.lit("value "), "value", F.lit(" is not in the quote"))
     )

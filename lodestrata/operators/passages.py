@@ -17,8 +17,9 @@ def _inner(passage: Column) -> Column:
     return F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
 
 
-def holding(texts: DataFrame, passages: DataFrame, text_key: str, passage_key: str, scope: list[str] | None = None) -> DataFrame:
-    """scope, text_key, passage_key: the texts (scope, text_key, _t) that hold a passage (scope, passage_key, _p)."""
+def holding(texts: DataFrame, passages: DataFrame, text_key: str, passage_key: str, scope: list[str] | None = None, short: bool = False) -> DataFrame:
+    """scope, text_key, passage_key: the texts (scope, text_key, _t) that hold a passage (scope, passage_key, _p). Short texts,
+    such as lines, go with each of their words, so that the pairs to look at are never written."""
     scope = scope or []
     wanted = passages.select(*scope, passage_key, "_p").filter(F.col("_p") != "")
     anchors = wanted.withColumn("_inner", _inner(F.col("_p")))
@@ -29,8 +30,11 @@ def holding(texts: DataFrame, passages: DataFrame, text_key: str, passage_key: s
     # A word of the passage that no text has rules the passage out, so that the join with the counts loses nothing.
     best = words.join(common, [*scope, "_word"], "left").withColumn("_at", F.row_number().over(rarest)).filter("_at = 1 AND _n IS NOT NULL")
     chosen = best.select(*scope, passage_key, "_word").join(wanted, [*scope, passage_key])
-    near = each.join(chosen, [*scope, "_word"]).select(*scope, text_key, passage_key, "_p")
-    found = near.join(texts.select(*scope, text_key, "_t"), [*scope, text_key]).filter(F.contains("_t", F.col("_p"))).select(*scope, text_key, passage_key)
+    if short:
+        near = texts.select(*scope, text_key, "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_word")).join(chosen, [*scope, "_word"])
+    else:
+        near = each.join(chosen, [*scope, "_word"]).select(*scope, text_key, passage_key, "_p").join(texts.select(*scope, text_key, "_t"), [*scope, text_key])
+    found = near.filter(F.contains("_t", F.col("_p"))).select(*scope, text_key, passage_key)
     short = anchors.filter(F.size("_inner") == 0).select(*scope, passage_key, "_p")
     bodies = texts.select(*scope, text_key, "_t")
     everywhere = bodies.join(short, scope) if scope else bodies.crossJoin(short)

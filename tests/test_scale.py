@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from lodestrata.operators import factsheets
 from lodestrata.operators.html_parser import parse_lines
 from lodestrata.plans import documents
 from lodestrata.sources import archive, reports, store
@@ -74,3 +75,16 @@ def test_the_store_is_a_file_a_task(spark, tmp_path):
     back = store.read_chunks(spark, str(tmp_path / "c"))
     assert len(parts(tmp_path / "c")) == 2 and dict(back.dtypes)["ticker"] == "string"
     assert [r["text"] for r in store.lookup(back, {"ticker": "7"}).collect()] == ["Text 7"]
+
+
+def test_a_quote_of_many_facts_is_looked_for_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(factsheets, "holding", lambda texts, passages, *a, f=factsheets.holding, **b: asked.append(passages.count()) or f(texts, passages, *a, **b))
+    lines = spark.createDataFrame([("T", "8", "income", "Net sales | price: 1"), ("T", "8", "", "Net sales | price: 12"), ("T", "8", "", "Net sales | price: 1"), ("T", "7", "", "Net sales | price: 1")], "ticker string, section string, statement string, text string")
+    quotes = [("sales | price: 1", None), ("sales | price: 1", "income"), ("sales | price: 2", None), (None, None), ("", None)]
+    facts = spark.createDataFrame([("T", f"{i} {k}", "8", s, q, "1") for i in range(20) for k, (q, s) in enumerate(quotes)], "ticker string, id string, section string, statement string, quote string, value string")
+    got = {r["id"]: r["n_lines"] for r in factsheets.quote_lines(lines, facts).collect()}
+    assert asked[0] <= 4 and len(got) == 100
+    assert all(n == {"0": 2, "1": 1, "2": 0, "3": 0, "4": 0}[i[-1]] for i, n in got.items())
+    told = {r["id"]: r["problem"] for r in factsheets.fact_problems(lines, facts).collect()}
+    assert len(told) == 80 and told["3 0"] == "quote found on 2 distinct lines of Item 8" and "3 1" not in told
