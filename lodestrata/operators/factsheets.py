@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.constants import FACT_TOPICS
 from lodestrata.functions.facts import fact_value, number_text, ratio_text
 from lodestrata.functions.labels import statement_name
-from lodestrata.operators.passages import holding
+from lodestrata.operators.passages import lines_holding as holding
 
 #: facts: key, ord, id, topic, label, section, statement (null: the whole Item), quote, value, unit.
 #: lines: key, section, statement, text (as of statements.statement_lines).
@@ -22,18 +22,17 @@ def scope_lines(lines: DataFrame, facts: DataFrame, key: str = "ticker") -> Data
 
 
 def _counted(lines: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """facts with n_lines: on how many distinct lines of its scope each quote stands. Only lines with the quote's rarest inner
-    word are looked at, see passages.holding(), and each distinct quote of a scope once, however many facts have it; the
-    statement is held against the lines that were found."""
-    scope, line = [key, "section"], F.xxhash64("statement", "text").alias("_line")
+    """facts with n_lines: on how many distinct lines of its scope each quote stands. Each distinct line of an Item and each distinct
+    quote are looked at once, however many facts have it, see passages.lines_holding(); the statement is held against the lines
+    that were found."""
+    scope = [key, "section"]
     asked = [*scope, "quote", "_named", "_statement"]
     placed = facts.withColumns({"_named": F.col("statement").isNotNull(), "_statement": F.coalesce("statement", F.lit(""))})
-    wanted = placed.select(*asked).distinct()
-    distinct = lines.select(*scope, "statement", "text", line).distinct()
-    quotes = wanted.select(*scope, "quote", F.col("quote").alias("_p")).distinct()
-    met = holding(distinct.withColumnRenamed("text", "_t"), quotes, "_line", "quote", scope, short=True)
-    found = met.join(distinct, [*scope, "_line"]).join(wanted, [*scope, "quote"]).filter(~F.col("_named") | (F.col("_statement") == F.col("statement")))
-    counted = found.groupBy(*asked).agg(F.count_distinct("text").alias("n_lines"))
+    quotes = placed.groupBy(*scope, F.col("quote").alias("_p")).agg(F.collect_set(F.struct("_named", "_statement")).alias("_asked"))
+    distinct = lines.select(*scope, "statement", F.col("text").alias("_t")).distinct()
+    met = holding(distinct, quotes, scope).select(*scope, F.col("_p").alias("quote"), "statement", "_t", F.inline("_asked"))
+    found = met.filter(~F.col("_named") | (F.col("_statement") == F.col("statement")))
+    counted = found.groupBy(*asked).agg(F.count_distinct("_t").alias("n_lines")).hint("merge")
     return placed.join(counted, asked, "left").drop("_named", "_statement").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
 
 

@@ -90,6 +90,31 @@ def test_a_quote_of_many_facts_is_looked_for_once(spark, monkeypatch):
     assert len(told) == 80 and told["3 0"] == "quote found on 2 distinct lines of Item 8" and "3 1" not in told
 
 
+LINES = ["ring ring ring | price: 1", "ring ring | price: 12", "a  b c", " a b ", "a b a b a", "über 😀 x | 9", "ab.c* d+ e\\E f", "", " ", "x", "a\tb c d", "Net sales | price: 1", "sales net | price: 1"]
+QUOTES = ["ring ring | price: 1", "g ring | p", "ring | price: 12", "ng ring ring |", "  ", " ", "a  b", " b", "b ", "a b a", " a b a", "b a b", "r 😀 x | ", "😀", "x", "xx", ".c* d+ e\\E", "e\\E f", "\tb c", "sales | price: 1", "a b", "i", "", None]
+
+
+def test_lines_hold_quotes_of_every_form(spark):
+    lines = [(k, "8", s, t) for k in "TU" for i, t in enumerate(LINES) for s in ("income", "")[: 1 + i % 2] if k == "T" or i % 3]
+    facts = [(k, f"{s} {i}", "8", s, q, None) for k in "TU" for s in ("income", None) for i, q in enumerate(QUOTES)]
+    want = {(k, i): len({t for tk, _, at, t in lines if q and tk == k and q in t and s in (None, at)}) for k, i, _, s, q, _ in facts}
+    columns = "ticker string, id string, section string, statement string"
+    lines, facts = spark.createDataFrame(lines, f"{columns.replace('id string, ', '')}, text string"), spark.createDataFrame(facts, f"{columns}, quote string, value string")
+    got = factsheets.quote_lines(lines, facts).collect()
+    assert len(got) == len(want) and {(r["ticker"], r["id"]): r["n_lines"] for r in got} == want
+
+
+@pytest.mark.parametrize("query", [factsheets.quote_lines, factsheets.fact_problems])
+def test_lines_are_not_held_against_quotes_in_pairs(spark, query):
+    """One word finds all these lines for all these quotes: 90,000 pairs."""
+    rows = spark.range(300).selectExpr("concat('T', id DIV 1000) AS ticker", "CAST(id AS STRING) AS id", "'8' AS section", "CAST(NULL AS STRING) AS statement", "concat('Net', id, ' ring | price: ', id) AS quote", "CAST(id AS STRING) AS value")
+    found = query(rows.selectExpr("ticker", "section", "statement", "concat('Part ', quote) AS text"), rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and not any("Contains(" in x or "Broadcast" in x or "NestedLoop" in x for x in joins)
+    assert query is factsheets.fact_problems or found.filter("n_lines <> 1").count() == 0
+
+
 def test_a_store_is_looked_up_in_as_many_tasks_as_its_bytes_need(spark, tmp_path, monkeypatch):
     rows = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "'en' AS lang", "sha2(CAST(id AS STRING), 512) AS text")
     rows.write.parquet(str(tmp_path / "documents.parquet"))
